@@ -30,9 +30,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and survives any executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise_at(df, scratch_path(df.sparkSession, name))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of the caller's, who may discard() it later. The shuffle files of the write go when it ends."""
+    spark, drop = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(drop, "false")
+    spark.conf.set(drop, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(drop, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

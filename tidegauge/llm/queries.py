@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidegauge.llm.common import read
 from tidegauge.llm.exact_dedup import exact_dedup
 from tidegauge.llm.simhash import simhash_components
+from tidegauge.llm.suffix_array import repeat_report
 
 
 def op6_simhash_near_dedup(spark, sf_dir):
@@ -15,7 +16,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_exact_dedup)}
+def op10_suffix_array_dedup(spark, sf_dir):
+    return repeat_report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_exact_dedup, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
