@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from tidegauge.llm.common import read
 from tidegauge.llm.exact_dedup import exact_dedup
+from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
 from tidegauge.llm.suffix_array import repeat_report
+from tidegauge.llm.warc import warc_round_trip
+
+
+def tokenizer_path(name: str) -> str:
+    """The public vocabulary file of that name, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
 def op6_simhash_near_dedup(spark, sf_dir):
@@ -16,15 +29,26 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_exact_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op9_warc, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id <> low THEN low END AS refers_to
+        FROM f""",
 }
