@@ -8,6 +8,7 @@ from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
 from tidegauge.llm.suffix_array import repeat_report
 from tidegauge.llm.warc import warc_round_trip
+from tidegauge.llm.winnow import edited_report
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +30,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark, sf_dir):
+    return edited_report(read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc_round_trip(read(spark, sf_dir, "pages"))
 
@@ -37,7 +42,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op9_warc, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing, op9_warc, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
