@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidegauge.llm.common import read
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidegauge.llm import lang_id, quality, toxicity
+from tidegauge.llm.common import held_out, read
 from tidegauge.llm.exact_dedup import exact_dedup
 from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
@@ -18,6 +22,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, ~held_out(F.col("doc_id")))
+    return lang_id.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fitted on the labelled documents of the training folds."""
+    known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return quality.fit(docs.select(F.col("doc_id").alias("id"), "text").join(known, "id"))
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return _verdicts(quality.predict(docs.select("doc_id", "text"), quality_model(docs, read(spark, sf_dir, "labels"))), 0.7)
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    known = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    train = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text").join(known, "id", "left")
+    model = toxicity.fit(train.select("id", "text", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("positive"), F.col("toxic").isNotNull().alias("known")))
+    return _verdicts(toxicity.predict(docs, model), 0.3)
+
+
 def op4_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
@@ -42,7 +75,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing, op9_warc, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing, op9_warc, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
