@@ -10,6 +10,7 @@ from tidegauge.llm.common import held_out, read
 from tidegauge.llm.exact_dedup import exact_dedup
 from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
+from tidegauge.llm.subword_sample import sample_segmentations
 from tidegauge.llm.suffix_array import repeat_report
 from tidegauge.llm.warc import warc_round_trip
 from tidegauge.llm.winnow import edited_report
@@ -55,6 +56,10 @@ def op4_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_subword_sample(spark, sf_dir):
+    return sample_segmentations(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -75,7 +80,13 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_packing, op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing, op9_warc, op10_suffix_array_dedup)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_packing, op5_subword_sample, op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing, op9_warc, op10_suffix_array_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
