@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV folder with header or a Parquet table, by the path's ending; CSV needs its schema, so that nothing is inferred by a second pass."""
     if path.rstrip("/").endswith(".csv"):
-        return spark.read.schema(schema).csv(path, header=True, nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        return spark.read.schema(schema).options(header=True, nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     if path.rstrip("/").endswith(".csv"):
-        df.write.mode(mode).csv(path, header=True, nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+        df.write.mode(mode).options(header=True, nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     else:
         df.write.mode(mode).parquet(path)
 

@@ -69,7 +69,8 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rows = pd.concat(list(frames)).sort_values("day_idx", kind="stable")
     out = [r for d, w, x in zip(rows.day_idx, rows.day_of_week, rows.latency_minutes, strict=True) for r in series.take(int(d), int(w), x)]
     state.update((pickle.dumps(series),))
-    yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in OUT.split(", ")])
+    if out:
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in OUT.split(", ")])
 
 
 def detect(runs: DataFrame) -> DataFrame:
