@@ -11,8 +11,8 @@ from tidegauge.schema import NOT_FEATURES
 
 
 def series_features(runs: DataFrame) -> DataFrame:
-    """Everything that a table's own history gives."""
-    for step in (features.temporal, features.baseline, features.drift, features.rolling, features.volume, features.state):
+    """Everything that a table's own history gives. The baseline goes first: its exchange by table_name serves the windows by weekday too."""
+    for step in (features.baseline, features.temporal, features.drift, features.rolling, features.volume, features.state):
         runs = step(runs)
     return runs
 

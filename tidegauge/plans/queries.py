@@ -36,7 +36,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule as prediction, labels, detector alerts and a probability, for the evaluation queries."""
     df = _runs(spark, sf_dir)
-    for step in (features.temporal, features.baseline, features.drift, features.volume, features.state):
+    for step in (features.baseline, features.temporal, features.drift, features.volume, features.state):
         df = step(df)
     df = features.graph(df, graph.features(*_graph(spark)))
     df = labels.severity(labels.family(labels.rule_severity(df)))
