@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 
 #: Open windows of a task (their ids take 16 KB each at most), and cached words of a worker.
 OPEN, WORDS = 1024, 500_000
-#: Fixed values of the tokenizer's file: its pattern, with which characters up to U+024F can be split here, and what ends a word.
+#: A fixed value of the tokenizer's file: its pattern, by which words of characters up to U+024F are split here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_END = "</w>"
 
 
 class CachedTokenizer:
@@ -39,39 +39,45 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.ends[i] = piece.endswith(WORD_END)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
         self.plain = re.compile("[\x21-\x7e\xa1-įı-ɏ]+")
         self.split = regex.compile(PATTERN)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > WORDS:
-            self.words, self.parts = {}, {}
-        plain, rest = {}, []
-        for w in words:
-            if self.plain.fullmatch(w) and not self.special.search(w):
-                plain[w] = self.split.findall(w.lower())
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+        probe = "It's a Straße, in 1234 ¾ çà!? ... naïve_word's"
+        if b"".join(self._part(p) for w in probe.split() for p in self.split.findall(w.lower())) != self._whole(probe):
+            self.plain = re.compile(r"(?!)")  # a tokenizer of another kind: words go to it whole
+
+    def _part(self, part: str) -> bytes:
+        """A lower-case word of the pattern, straight to the tokenizer's BPE model."""
+        if not part.isascii():
+            part = "".join(map(self.letters.__getitem__, part.encode()))
+        ids = [t.id for t in self.tokenizer.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        if self.plain.fullmatch(word) and not self.special.search(word):
+            low = word.lower()
+            if low.isalpha():
+                parts = [low]
+            elif low[-1] in ".,!?;:" and low[:-1].isalpha():
+                parts = [low[:-1], low[-1]]
             else:
-                rest.append(w)
-        new = list({p for ps in plain.values() for p in ps if p not in self.parts})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some):
-                raise ValueError("the tokenizer's file doesn't end each word with " + WORD_END)
-            self.parts |= {p: x.tobytes() for p, x in zip(some, np.split(ids, cut[:-1]), strict=True)}
-        get = self.parts.__getitem__
-        self.words |= {w: b"".join(map(get, ps)) for w, ps in plain.items()}
-        if rest:
-            found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-            self.words |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, found, strict=True)}
+                parts = self.split.findall(low)
+            out = []
+            for p in parts:
+                if (ids := self.parts.get(p)) is None:
+                    ids = self.parts[p] = self._part(p)
+                out.append(ids)
+            return b"".join(out)
+        return self._whole(word)
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -79,8 +85,8 @@ class CachedTokenizer:
             parted = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[i : i + 256]]
             if len(self.words) > WORDS:
                 self.words, self.parts = {}, {}
-            if new := list(set().union(*parted).difference(self.words)):
-                self._learn(new)
+            for w in set().union(*parted).difference(self.words):
+                self.words[w] = self._learn(w)
             get = self.words.__getitem__
             for words in parted:
                 yield np.frombuffer(b"".join(map(get, words)), "<u4")
