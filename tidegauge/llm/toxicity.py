@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other training rows are unlabelled, not clean. Counts of words' character n-grams, screened
+Confirmed toxic texts are the positives; a sample of all training rows, whatever their label, is the unlabelled text, so that the class
+prior holds for it. Counts of words' character n-grams, screened
 by how much more often positives have them, feed linear classifiers trained in numpy on the class-prior-corrected risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
 where the max keeps the estimated risk of clean text from going below zero. The mean of several members is the score.
@@ -113,7 +114,8 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", positive_col:
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(positive_col).alias("positive"), F.col(known_col).alias("known"))
     known, toxic = rows.agg(F.count_if("known"), F.count_if("positive")).first()
     prior = min(max(toxic / max(known, 1), 0.005), 0.5)
-    sample = bounded_sample(rows.where("positive"), "id", FIT_POSITIVE).unionByName(bounded_sample(rows.where("not positive"), "id", FIT_UNLABELLED))
+    unlabelled = bounded_sample(rows, "id", FIT_UNLABELLED).withColumn("positive", F.lit(False))  # the prior is that of all rows, so positives are among them
+    sample = bounded_sample(rows.where("positive"), "id", FIT_POSITIVE).unionByName(unlabelled)
     sample = materialise(sample.select("text", "positive"), "sample")
     top = _screen(sample)
     ids = {g: i for i, g in enumerate(top)}
