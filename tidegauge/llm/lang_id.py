@@ -28,6 +28,9 @@ _SMOOTH = 0.5
 
 
 def grams(word: str, n: int) -> list[str]:
+    """The n-grams of the word between its marks; single characters come without the marks."""
+    if n == 1:
+        return list(word)
     w = f"^{word}$"
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
