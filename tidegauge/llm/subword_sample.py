@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Weight exponent of the Zipf law, a byte's log weight, and rows (characters of distinct words) that a worker remembers.
-ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 1_000_000
+ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 600_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -71,7 +71,7 @@ class Lattices:
         self.at: dict[str, int] = {}
         self.rows = 0
         self.share = np.zeros((1 << 14, self.width), np.float32)
-        self.log = np.zeros((1 << 14, self.width), np.float32)
+        self.log = np.zeros((1 << 14, self.width))
         self.piece = np.zeros((1 << 14, self.width), np.int32)
 
     @staticmethod
@@ -174,7 +174,7 @@ class Search:
         reach = np.cumsum(logs) - logs
         rest = -np.expm1(np.minimum(logs[j:], 0.0))
         rest[0] -= sum(map(math.exp, self.out.values()))
-        at = np.flatnonzero(rest > 1e-7)
+        at = np.flatnonzero(rest > 1e-12)
         if not len(at):
             return
         mass = reach[j:][at] + np.log(rest[at])
