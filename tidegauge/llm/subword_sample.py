@@ -29,7 +29,9 @@ SPACE = "▁"
 #: Weight exponent of the Zipf law, a byte's log weight, and rows (characters of distinct words) that a worker remembers.
 ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 600_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: The finer cut, for models in which no piece has both letters and other characters than the leading spaces.
+_RUNS = re.compile(rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^{SPACE}\w]|[\d_²])+|{SPACE}+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,9 +72,8 @@ class Lattices:
     def reset(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = 0
-        self.share = np.zeros((1 << 14, self.width), np.float32)
-        self.log = np.zeros((1 << 14, self.width))
-        self.piece = np.zeros((1 << 14, self.width), np.int32)
+        most = REMEMBERED + (1 << 16)
+        self.share, self.log, self.piece = np.empty((most, self.width), np.float32), np.empty((most, self.width)), np.empty((most, self.width), np.int32)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -82,10 +83,11 @@ class Lattices:
         return h
 
     def _room(self, rows: int) -> None:
-        while self.rows + rows > len(self.share):
+        """A batch of very long words may need more than the table has."""
+        if self.rows + rows > len(self.share):
             for name in ("share", "log", "piece"):
                 old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+                setattr(self, name, np.concatenate([old, np.empty((max(rows, len(old)), self.width), old.dtype)]))
 
     def add(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -125,6 +127,7 @@ class Lattices:
         full = weight.transpose(2, 0, 1).reshape(n * m, width)
         self.share[rows, :width] = np.cumsum(np.exp(full), axis=1)
         self.share[rows, width:] = 2.0
+        self.log[rows, width:] = -np.inf
         self.log[rows, :width] = full
         self.piece[rows, :width] = piece.transpose(2, 0, 1).reshape(n * m, width)
         # the last piece takes the rest of the shares, whatever rounding left
@@ -202,6 +205,8 @@ class Sampler:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 pieces[piece] = (i, -ZIPF * math.log(len(pieces) + 2.7))
         self.unknown = self.model.unk_id()
+        apart = all(len(_RUNS.findall(p)) == 1 for p in pieces)
+        self.cut = _RUNS if apart else _WORDS
         self.lattices = Lattices(pieces, self._bytes)
 
     def _bytes(self, ch: str) -> tuple[int, ...]:
@@ -209,7 +214,7 @@ class Sampler:
 
     def units(self, text: str) -> list[str]:
         """The normalised text's words; no piece reaches over the end of one."""
-        return _UNITS.findall(self.model.normalize(text)) if text else []
+        return self.cut.findall(self.model.normalize(text)) if text else []
 
     def sample_batch(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[list[int], float, float, float]]]:
         """For each text up to k distinct (ids, log p, perturbed log p, inclusion score), best first; fewer if it has fewer paths."""
@@ -287,10 +292,9 @@ class Sampler:
                 if ids not in out:
                     left.append((ids, -w))
                 continue
-            for c in np.flatnonzero(np.isfinite(self.lattices.log[base + i]) & (self.lattices.log[base + i] != 0) | (self.lattices.share[base + i] == 2.0)):
-                if i + c < len(word) and (self.lattices.piece[base + i, c] >= 0 or c == 0):
-                    e = (int(self.lattices.piece[base + i, c]),) if self.lattices.piece[base + i, c] >= 0 else self._bytes(word[i])
-                    heapq.heappush(heap, (w - float(self.lattices.log[base + i, c]), i + int(c) + 1, ids + e))
+            for c in np.flatnonzero(np.isfinite(self.lattices.log[base + i])):
+                piece = int(self.lattices.piece[base + i, c])
+                heapq.heappush(heap, (w - float(self.lattices.log[base + i, c]), i + int(c) + 1, ids + ((piece,) if piece >= 0 else self._bytes(word[i]))))
         total = sum(math.exp(w) for _, w in left)
         x = u * total
         for ids, w in left:
