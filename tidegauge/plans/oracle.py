@@ -122,7 +122,7 @@ ORACLE_SQL = {
     "f1_zscore": _sql("runs f1", _rounded("f1", "latency_zscore")),
     "f1_outliers": _sql("runs f1", _rounded("f1", "latency_minutes hist_mean_21d hist_std_21d latency_zscore") + " WHERE f1.latency_zscore > 3"),
     "f1_pct_rank": _sql("runs f1", _rounded("f1", "latency_pct_rank")),
-    "f2_baseline": _sql("runs f2", _rounded("f2", "lat_ds ds_z ref_mu ref_sd")),
+    "f2_baseline": _sql("runs f2", _rounded("f2", "lat_ds ds_z ref_mu ref_sd").replace(", 6)", ", 8)")),
     "f3_ewma": _sql("runs f2 f3", _rounded("f3", "ewma_z", "ewma_run ewma_alert")),
     "f3_cusum": _sql("runs f2 f3", _rounded("f3", "cusum_s_pos cusum_s_neg cusum_drift_score", "cusum_alert_up cusum_alert_dn")),
     "f4_state": _sql("runs f4", _rounded("f4", "row_write_ratio", "diag_state_code diag_state_label diag_owner diag_exec_ok diag_read_ok diag_write_ok was_retried")),
