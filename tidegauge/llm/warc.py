@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import materialise, scratch_path, utf8
 
 #: Bytes of a range (a task's share), of one read, and the most of a member that is decoded to tell whether it is one.
-RANGE, READ, PROBE = 64 << 20, 1 << 20, 512
+RANGE, READ, PROBE = 16 << 20, 1 << 20, 512
+#: Tasks that ranges are dealt to at most; beyond, a task reads several.
+MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads shorter than this are never revisits.
 REVISIT_FROM = 100
@@ -204,7 +206,8 @@ def read_warc(manifest: DataFrame, byte_range: int = RANGE) -> DataFrame:
 
     root = manifest.select("path").first()
     root = root[0] if root else "/"
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    tasks = manifest.agg(F.sum(F.ceil(F.col("size") / byte_range))).first()[0]
+    return ranges.repartition(int(min(max(tasks or 1, 1), MOST_TASKS)), "path", "start").mapInArrow(run, schema)
 
 
 def warc_round_trip(pages: DataFrame, byte_range: int = RANGE) -> DataFrame:
