@@ -87,7 +87,10 @@ def test_quality_edge_cases(spark, edge):
 def test_index_vectors_and_temperature():
     a = quality.index_vector("word")
     assert np.array_equal(a, quality.index_vector("word")) and 0 < np.abs(a).sum() <= quality.NONZERO
-    ids, v = quality.random_index([["a", "b", "a", "b", "c"]] * 5)
+    texts = quality.Encoded(iter([["a", "b", "a", "b", "c"], []] * 5))
+    assert texts.types == ["a", "b", "c"] and texts.texts[0].tolist() == [0, 1, 0, 1, 2]
+    ids, v, own = quality.random_index(texts)
+    assert [ids[t] for t in texts.types] == own.tolist()
     assert np.allclose(np.linalg.norm(v[: len(ids)], axis=1), 1, atol=1e-5) and not v[-1].any()
     n = quality.Network(3)
     rng = np.random.default_rng(0)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import operator
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +44,11 @@ def index_vector(token: str) -> np.ndarray:
     return v
 
 
-def repetition(tokens: list[str], distinct: int) -> tuple[float, float, float]:
-    n = len(tokens)
+def repetition(same: tuple[int, int], n: int, distinct: int) -> tuple[float, float, float]:
+    """Shares of tokens equal to the one before and the one before that, and of tokens that came before."""
     if n < 2:
         return 0.0, 0.0, 0.0
-    lag = [sum(map(operator.eq, tokens, tokens[k:])) / (n - 1) for k in (1, 2)]
-    return lag[0], lag[1], 1 - distinct / n
+    return same[0] / (n - 1), same[1] / (n - 1), 1 - distinct / n
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -127,35 +125,59 @@ class Pooler:
         total = np.zeros(DIM)
         for i in range(0, len(tokens), 50_000):
             total += self.vectors[list(map(self.ids.__getitem__, tokens[i : i + 50_000]))].sum(0, dtype=np.float64)
-        return np.concatenate([total / len(tokens), repetition(tokens, len(kinds))])
+        same = tuple(sum(map(operator.eq, tokens, tokens[k:])) for k in (1, 2))
+        return np.concatenate([total / len(tokens), repetition(same, len(tokens), len(kinds))])
 
 
-def random_index(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Vectors of the TYPES commonest tokens and of all shapes, of length 1; the last row is zero."""
-    count = Counter(t for ts in texts for t in ts)
-    common = [t for t, k in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:TYPES] if k > 2]
-    shapes = sorted({shape(t) for t in count})
-    ids = {t: i for i, t in enumerate([*common, *shapes])}
+class Encoded:
+    """Token types and each text's types in order, as numbers: texts are let go as they are encoded."""
+
+    def __init__(self, texts: Iterator[list[str]]):
+        number: dict[str, int] = {}
+        self.texts = [np.fromiter((number.setdefault(t, len(number)) for t in ts), np.int32, len(ts)) for ts in texts]
+        self.types = list(number)
+
+
+def random_index(texts: Encoded) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Vectors of the TYPES commonest tokens and of all shapes, of length 1; the last row is zero. Also each type's row."""
+    types = texts.types
+    count = np.bincount(np.concatenate([*texts.texts, np.zeros(0, np.int32)]), minlength=len(types))
+    often = np.flatnonzero(count > 2).tolist()
+    common = [types[i] for i in sorted(often, key=lambda i: (-count[i], types[i]))[:TYPES]]
+    shapes = [shape(t) for t in types]
+    ids = {t: i for i, t in enumerate([*common, *sorted(set(shapes))])}
     index = np.stack([*map(index_vector, ids), np.zeros(DIM, np.float32)])
-    out = np.zeros_like(index, np.float64)
-    own = {t: ids.get(t, ids[shape(t)]) for t in count}
-    of_shape = {t: ids[shape(t)] for t in count}
-    pad = np.full(AROUND, len(ids))
-    for i in range(0, len(texts), 64):
-        part = texts[i : i + 64]
-        row = np.concatenate([np.concatenate([[own[t] for t in ts], pad]).astype(np.int64) for ts in part] + [pad])
-        also = np.concatenate([np.concatenate([[of_shape[t] for t in ts], pad]).astype(np.int64) for ts in part] + [pad])
-        near = np.zeros((len(row), DIM), np.float32)
+    of_shape = np.array([ids[s] for s in shapes], np.int32)
+    own = np.array([ids.get(t, s) for t, s in zip(types, of_shape.tolist(), strict=True)], np.int32)
+    out = np.zeros(index.shape)
+    for at in _chunks(texts.texts):
+        row, also = (np.where(at < 0, len(ids), x[np.maximum(at, 0)]) for x in (own, of_shape))
+        near = np.zeros((len(at), DIM), np.float32)
         both = index[row] + index[also]
         for k in range(1, AROUND + 1):
             near[k:] += both[:-k]
             near[:-k] += both[k:]
-        for at in (row, also):  # a common token also counts for its shape
-            order = np.argsort(at, kind="stable")
-            start = np.flatnonzero(np.diff(at[order], prepend=-1))
-            out[at[order][start]] += np.add.reduceat(near[order], start, axis=0)
+        for to in (row, also):  # a common token also counts for its shape
+            order = np.argsort(to, kind="stable")
+            start = np.flatnonzero(np.diff(to[order], prepend=-1))
+            out[to[order][start]] += np.add.reduceat(near[order], start, axis=0)
     out[-1] = 0
-    return ids, (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return ids, (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32), own
+
+
+def _chunks(texts: list[np.ndarray], most: int = 50_000) -> Iterator[np.ndarray]:
+    """The texts' types with gaps (-1) between texts, in pieces of about `most`; a long text's pieces overlap by no token, so a few pairs at its cuts go uncounted."""
+    held: list[np.ndarray] = []
+    gap, n = np.full(AROUND, -1, np.int32), 0
+    for t in texts:
+        for i in range(0, len(t), most):
+            held += [t[i : i + most], gap]
+            n += len(held[-2])
+            if n >= most:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> Model:
@@ -166,15 +188,18 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(TOKEN.findall(t)) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], ["id", "tokens", "label"])
 
-    got = bounded_sample(rows, "id", fit_rows).mapInArrow(tokens, "id long, tokens string, label int").toArrow()
-    got = got.sort_by("id")
+    got = bounded_sample(rows, "id", fit_rows).mapInArrow(tokens, "id long, tokens string, label int").toArrow().sort_by("id")
     y = np.array(got.column("label").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros((1, DIM), np.float32), None, float(y.mean()) if len(y) else 0.5)
-    texts = [t.split("\n") if t else [] for t in got.column("tokens").to_pylist()]
-    ids, vectors = random_index(texts)
-    pool = Pooler(ids, vectors)
-    x = np.stack([pool(" ".join(ts)) for ts in texts])
+    texts = Encoded(v.as_py().split("\n") if len(v.as_py()) else [] for v in got.column("tokens"))
+    del got
+    ids, vectors, own = random_index(texts)
+    x = np.zeros((len(y), DIM + 3))
+    for i, t in enumerate(texts.texts):
+        if len(t):
+            mean = sum(vectors[own[t[k : k + 50_000]]].sum(0, dtype=np.float64) for k in range(0, len(t), 50_000)) / len(t)
+            x[i] = np.concatenate([mean, repetition(tuple(int((t[k:] == t[:-k]).sum()) for k in (1, 2)), len(t), len(np.unique(t)))])
     aside = np.arange(len(y)) % 5 == 4
     network = Network(x.shape[1])
     network.train(x[~aside], y[~aside])
