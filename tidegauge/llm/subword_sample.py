@@ -100,7 +100,7 @@ class Lattices:
 
     def _add(self, words: list[str], n: int) -> None:
         m, width = len(words), min(n, self.width)
-        code = np.array([[ord(c) for c in w] for w in words], np.uint64) + np.uint64(1)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
         weight, piece = np.full((n, width, m), -np.inf), np.full((n, width, m), -1, np.int32)
         h = np.zeros((m, n), np.uint64)
         for c in range(width):
@@ -143,7 +143,7 @@ class Lattices:
         seed = _mix(seed + _STEP * (np.array([draw], np.uint64) + np.uint64(1 << 20) * np.atleast_1d(tries).astype(np.uint64)))
         while len(live):
             u = uniform(seed[live], at[live] - row[live]).astype(np.float32)
-            c = (self.share[at[live]] <= u[:, None]).sum(1)
+            c = np.argmax(self.share[at[live]] > u[:, None], axis=1)
             steps.append((live, at[live].copy(), self.piece[at[live], c]))
             log[live] += self.log[at[live], c]
             at[live] += c + 1
