@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Units of a gram (3 is written out in `grams`), hashes of a window (a power of two), characters of a unit at most.
 K, W, UNIT = 3, 8, 16
+#: Units of the report, whose grid restarts at white space only; units of lookups, where each character of a longer run is one, whatever its offset.
+BLOCKS, SINGLES = rf"\S{{1,{UNIT}}}", rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S"
 #: Documents for a range of ids, and the most ranges: their first ids are broadcast (under 1 MB).
 RANGE, RANGES = 2000, 10_000
 _BITS = 31
@@ -24,13 +26,13 @@ def _turn(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str, units: str = BLOCKS) -> DataFrame:
     """df with array<bigint> `out`: the grams kept, in order, each as hash * 2^31 + (2^31 - 1 - position).
 
     Fewer than K units are one gram of what there is; a text without units (or null) keeps none.
     """
     unit, packed = f"__{out}_units", f"__{out}_packed"
-    df = df.withColumn(unit, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0)), lambda u: F.xxhash64(u)))
+    df = df.withColumn(unit, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(units), F.lit(0)), lambda u: F.xxhash64(u)))
     h = F.col(unit)
     none = F.lit(0).cast("long")
     rolled = lambda x, i: _turn(x, 2).bitwiseXOR(_turn(F.coalesce(F.get(h, i + 1), none), 1)).bitwiseXOR(F.coalesce(F.get(h, i + 2), none))
@@ -65,9 +67,13 @@ def likeness(both: Column, a: Column, b: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, grams) for each row: grams has the kept hashes with positions, for lookups of shared passages."""
+    """(id, n_chars, grams) for each row: grams has the kept hashes with positions, for lookups of shared passages.
+
+    Runs of over UNIT characters are taken a character at a time, so a passage is found at any offset in text without spaces too; the
+    hashes there aren't those of edited_report, which cuts such runs into blocks of UNIT.
+    """
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_fingerprint(slim, "text", "kept").select("id", F.char_length("text").cast("long").alias("n_chars"), grams(F.col("kept")).alias("grams"))
+    return with_fingerprint(slim, "text", "kept", SINGLES).select("id", F.char_length("text").cast("long").alias("n_chars"), grams(F.col("kept")).alias("grams"))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], made: callable = lambda x: x) -> DataFrame:
