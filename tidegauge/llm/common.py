@@ -13,9 +13,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary folder is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine (a local master) a temporary folder is set where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidegauge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -75,9 +77,41 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows (all, if there are no more), chosen by a hash of the key: the same rows on every run and for any partitioning."""
-    n = df.count()
-    if n <= rows:
+#: Rows of keys that `without` broadcasts (8 to 16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, *on: Column) -> DataFrame:
+    """The rows of docs that match no row of `gone` by all conditions. gone is a written table of keys: it is counted, and broadcast if it has few rows."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, list(on), "left_anti")
+
+
+def bounded_sample(df: DataFrame, rows: int, size: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """All rows, if they are `rows` with `size` bytes of text at most; else those that come first by a hash of id and text, as many as keep both bounds.
+
+    The same rows on every run and for any partitioning; null and repeated ids count like others. Of equal rows that only fit in part any are as good.
+    A text of over a sixteenth of `size` isn't taken then. What reaches the driver are hashes and counts of about twice as many rows as are taken.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    if n <= rows and total <= size:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)) < rows)
+    df = df.where(F.octet_length(text) <= size // 16)
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 1)
+    share, top = min(1.0, 2 * min(rows / n, size / max(total, 1))), 1 << 63
+    while True:
+        low = h if share == 1 else F.when(h < int(share * top), h)
+        by = df.select(low.alias("h"), F.octet_length(text).alias("b")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"))
+        taken, left, cut, part = rows, size, -1, 0
+        for r in sorted(by.collect()):
+            fit = min(r.n, taken, left // max(r.b, 1))
+            cut, part = (r.h, 0) if fit == r.n else (r.h, fit)
+            taken, left = taken - fit, left - fit * r.b
+            if fit < r.n:
+                break
+        else:
+            if share < 1 and taken:
+                share = min(1.0, 4 * share)
+                continue
+            return df.where(h <= cut)
+        return df.where(h < cut).unionByName(df.where(h == cut).limit(int(part))) if part else df.where(h < cut)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise
+from tidegauge.llm.common import discard, materialise, materialise_at, scratch_path
 
 #: Links that one union-find holds before it emits its forest.
 LOCAL_LINKS = 500_000
@@ -63,10 +63,12 @@ def _small_star(e: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b) that isn't the smallest of its component."""
     edges = materialise(links.where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
-    last = None
+    last = path = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last = now
-        edges = materialise(_small_star(_large_star(edges)), "star")
+        last, before, path = now, path, scratch_path(links.sparkSession, "star")
+        edges = materialise_at(_small_star(_large_star(edges)), path)
+        if before:
+            discard(links.sparkSession, before)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, utf8
+from tidegauge.llm.common import materialise, utf8, without
 
 #: Counters of a Misra-Gries summary; k+1 digests at most are broadcast (under 200 KB).
 COUNTERS = 1024
@@ -24,13 +24,14 @@ COUNTERS = 1024
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sums = [hashlib.sha256(t.lower()).digest() for t in b.column(1).to_pylist()]  # bytes.lower() changes A-Z only
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary())], ["id", "digest"])
+        sums = [hashlib.sha256(t.lower()).digest() for t in b.column(2).to_pylist()]  # bytes.lower() changes A-Z only
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.binary())], ["id", "raw", "digest"])
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest): SHA-256 of each whole text, A-Z lower-cased; null text counts as empty."""
-    return df.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text")).mapInArrow(_digest, "id long, digest binary")
+    """(id, raw, digest): a hash of the text as it is, and the SHA-256 of each whole text, A-Z lower-cased; null text counts as empty."""
+    text = utf8(F.col(text_col))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(_digest, "id long, raw long, digest binary")
 
 
 class MisraGries:
@@ -59,13 +60,8 @@ def heavy_candidates(df: DataFrame, key: str, rows: int, k: int = COUNTERS) -> D
     return parts.groupBy(key).agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.col("n") * (k + 1) >= rows)).select(key)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of rows with equal texts (A-Z lower-cased; null counts as empty) the largest id stays. Rows that share an id and a text are one
-    document: they stay or go together, each counts in group_size. A null id loses to any other; a group of null ids
-    alone keeps all its rows (keep_id null). Other columns of any name are ignored. An empty table gives an empty result.
-    """
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
+    """(id, raw, digest, keep_id, group_size) of each row."""
     dig = materialise(digests(df, id_col, text_col), "digests")
     group = (F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     heavy = dig.join(F.broadcast(heavy_candidates(dig, "digest", dig.count(), k)), "digest").groupBy("digest").agg(*group)
@@ -74,7 +70,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     per_text = Window.partitionBy("digest")
     rest = dig.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     rest = rest.withColumns({"keep_id": F.max("id").over(per_text), "group_size": F.count(F.lit(1)).over(per_text)})
-    return mapped.unionByName(rest).select(
+    return mapped.select(rest.columns).unionByName(rest)
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of rows with equal texts (A-Z lower-cased; null counts as empty) the largest id stays. Rows that share an id and a text are one
+    document: they stay or go together, each counts in group_size. A null id loses to any other; a group of null ids
+    alone keeps all its rows (keep_id null). A text of any length is hashed whole. Other columns of any name are ignored. An empty table gives an
+    empty result.
+    """
+    return groups(df, id_col, text_col, k).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
@@ -84,6 +91,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def keep_first(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    kept = exact_dedup(docs, k=k).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs that stay by exact_dedup's rules, with their own columns, whatever their names.
+
+    A row goes by its id and its text together, so of rows that share an id each is judged by its own text.
+    """
+    gone = groups(docs, k=k).where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    gone = materialise(gone, "gone")
+    return without(docs, gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), F.xxhash64(utf8(docs["text"])) == gone["gone_raw"])
