@@ -25,8 +25,29 @@ def test_folds_and_bounded_sample(spark):
     import zlib
 
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in df.collect())
-    some = bounded_sample(spark.range(1000), "id", 100)
-    assert 60 < some.count() < 140 and some.exceptAll(bounded_sample(spark.range(1000).repartition(7), "id", 100)).count() == 0
+
+
+def texts_of(df):
+    return sorted((str(r.id), r.text) for r in df.collect())
+
+
+@pytest.mark.parametrize("ids", ["id", "CAST(NULL AS long)", "7L"])
+def test_bounded_sample_keeps_its_bounds_whatever_the_ids(spark, ids):
+    df = spark.range(3000).selectExpr(f"{ids} AS id", "concat('text ', id) AS text")
+    some = bounded_sample(df, 100, 1 << 20)
+    assert some.count() == 100 and texts_of(some) == texts_of(bounded_sample(df.repartition(7), 100, 1 << 20))
+    assert bounded_sample(df, 3000, 1 << 20).count() == 3000
+    assert bounded_sample(df.limit(0), 10, 1 << 20).count() == 0
+
+
+def test_bounded_sample_of_equal_rows_and_of_bytes(spark):
+    same = spark.range(1000).selectExpr("1L AS id", "'x' AS text")
+    assert bounded_sample(same, 40, 1 << 20).count() == 40
+    assert bounded_sample(spark.range(1000).selectExpr("id", "CAST(NULL AS string) AS text"), 40, 1 << 20).count() == 40
+    wide = spark.range(1000).selectExpr("id", "repeat('abcd', 25) AS text")
+    assert bounded_sample(wide, 900, 5000).count() == 50
+    longs = wide.selectExpr("id", "CASE WHEN id < 10 THEN repeat(text, 100) ELSE text END AS text")
+    assert {len(r.text) for r in bounded_sample(longs, 900, 5000).collect()} == {100}
 
 
 def test_language_accuracy_on_held_out_documents(spark, docs):
@@ -41,6 +62,95 @@ def test_language_edge_cases(spark, edge):
     assert len(got) == len(EDGE) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
     assert lang_id.predict(edge.where("false"), model).collect() == []
     assert {r.lang_pred for r in lang_id.predict(edge, lang_id.fit(train.where("false"), F.lit(True))).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "²½ Ⅷ ①"), (2, "x² the dog")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in lang_id.predict(signs, model).collect()} == {1: "und", 2: "en"}
+    assert lang_id.words_of("The x² ½ Ⅷ été_9") == ["the", "x", "été"]
+
+
+def test_a_tie_goes_to_the_first_language(spark):
+    train = spark.createDataFrame([(1, "same same words words", "xx"), (2, "same same words words", "aa")], "doc_id long, text string, lang string")
+    got = lang_id.predict(train, lang_id.fit(train, F.lit(True))).collect()
+    assert {(r.lang_pred, round(r.score, 6)) for r in got} == {("aa", 0.5)}
+
+
+def plain_language(model, text):
+    """The scorer word by word, without numpy's sums or any memory."""
+    words = [w for w in __import__("regex").findall(r"\p{L}+", text.lower())]
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in words:
+        logs = None
+        if w in model.words[0]:
+            logs = model.words[1][model.words[0][w]]
+        else:
+            for n in range(lang_id.LONGEST, 0, -1):
+                marked = w if n == 1 else f"^{w}$"
+                known = [model.grams[0][marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in model.grams[0]]
+                if known:
+                    logs = [sum(float(model.grams[1][k][c]) for k in known) / len(known) for c in range(len(total))]
+                    break
+        logs = [float(model.floor.mean())] * len(total) if logs is None else logs
+        total = [a + float(b) for a, b in zip(total, logs, strict=True)]
+    p = [np.exp((t - max(total)) / len(words) ** 0.5) for t in total]
+    return model.langs[p.index(max(p))], max(p) / sum(p)
+
+
+def test_language_query_against_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = lang_id.fit(docs, ~held_out(F.col("doc_id")))
+    want = {r.doc_id: plain_language(model, r.text or "") for r in docs.collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op1_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+
+
+def plain_quality(model, text):
+    tokens = quality.TOKEN.findall(text)
+    x = np.zeros(quality.DIM + 3)
+    if tokens:
+        rows = [model.ids.get(t, model.ids.get(quality.shape(t), len(model.vectors) - 1)) for t in tokens]
+        x[: quality.DIM] = sum(model.vectors[r].astype(float) for r in rows) / len(tokens)
+        if len(tokens) > 1:
+            pairs = [sum(a == b for a, b in zip(tokens, tokens[k:], strict=False)) / (len(tokens) - 1) for k in (1, 2)]
+            x[quality.DIM :] = [*pairs, 1 - len(set(tokens)) / len(tokens)]
+    net = model.network
+    h = np.tanh(((x - net.mean) / net.sd) @ net.p[0] + net.p[1])
+    z = (h @ net.p[2] + net.p[3]) / net.temperature
+    return 1 / (1 + np.exp(z[0] - z[1]))
+
+
+def test_quality_query_against_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.quality_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op2_quality(spark, sf).collect()}
+    want = {r.doc_id: plain_quality(model, r.text or "") for r in docs.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][0] - want[i]) < 1e-6 and got[i][1] == int(got[i][0] >= 0.7) for i in want)
+
+
+def plain_toxicity(model, text):
+    words = __import__("regex").findall(r"\p{L}+", text.lower())
+    total = np.zeros(len(model.bias))
+    for w in words:
+        marked = f"^{w}"
+        for g in {marked[i : i + n] for n in toxicity.LENGTHS for i in range(len(marked) - n + 1)} | {f"{marked}$"}:
+            if g in model.ids:
+                total += model.weights[model.ids[g]]
+    z = (total + model.per_word * len(words)) * (min(1, toxicity.FULL / len(words)) if words else 1) + model.bias
+    return float(np.mean(1 / (1 + np.exp(-z))))
+
+
+def test_toxicity_query_against_a_plain_scorer(spark, monkeypatch):
+    sf, kept = "/root/testdata/sf0.001", []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op3_toxicity(spark, sf).collect()}
+    want = {r.doc_id: plain_toxicity(kept[0], r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][0] - want[i]) < 1e-4 and got[i][1] == int(got[i][0] >= 0.3) for i in want)
 
 
 def test_backoff_takes_the_longest_known_ngrams(spark):
@@ -75,8 +185,13 @@ def test_quality_on_held_out_documents(spark):
 def test_quality_edge_cases(spark, edge):
     rows = [(i, f"some plain words {i} here and there", 1) if i % 2 else (i, "JUNK!! JUNK!! $$$ %%% JUNK!!", 0) for i in range(60)] + [(99, None, None), (98, "x", 7)]
     model = quality.fit(spark.createDataFrame(rows, "id long, text string, label int"))
+    with pytest.raises(ValueError, match="score"):
+        quality.predict(edge.withColumnRenamed("score", "SCORE"), model)
+    out = quality.predict(edge, model, out="p").select(*edge.columns, "p")
+    assert {r.score for r in out.collect()} == {"clash"}
+    edge = edge.drop("score")
     out = quality.predict(edge, model)
-    assert out.columns == edge.columns and all(0 <= r.score <= 1 for r in out.collect()) and out.count() == len(EDGE)
+    assert out.columns == [*edge.columns, "score"] and all(0 <= r.score <= 1 for r in out.collect()) and out.count() == len(EDGE)
     assert quality.predict(edge.where("false"), model).collect() == []
     p = {r.text: r.score for r in quality.predict(spark.createDataFrame([(1, "some plain words here"), (2, "JUNK!! $$$ JUNK!!")], "doc_id long, text string"), model).collect()}
     assert p["some plain words here"] > 0.7 > 0.3 > p["JUNK!! $$$ JUNK!!"]

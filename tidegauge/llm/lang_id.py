@@ -14,19 +14,28 @@ from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bounded_sample, materialise
 
-#: Labelled rows that the model is fitted on at most; words and n-grams that it keeps (the broadcast model is under 30 MB).
-FIT_ROWS, WORDS, GRAMS = 20_000, 60_000, 60_000
+#: Labelled rows that the model is fitted on at most, and their bytes; words and n-grams that it keeps (the broadcast model is under 30 MB).
+FIT_ROWS, FIT_BYTES, WORDS, GRAMS = 20_000, 512 << 20, 60_000, 60_000
 #: Longest n-gram, and unseen words that a worker remembers.
 LONGEST, REMEMBERED = 5, 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: The quick pattern takes number signs (superscripts, fractions, Roman numerals) for letters; texts with such go by the exact one.
+_QUICK, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 _SMOOTH = 0.5
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of the lower-cased text."""
+    low = text.lower()
+    found = _QUICK.findall(low)
+    return found if all(map(str.isalpha, found)) else _LETTERS.findall(low)
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of the word between its marks; single characters come without the marks."""
     if n == 1:
@@ -72,7 +81,7 @@ class Scorer:
         self.logs[: len(ids)] = logs
 
     def __call__(self, text: str) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0
         total, n = np.zeros(len(self.model.langs)), len(words)
@@ -107,7 +116,7 @@ def _counted(df: DataFrame, count) -> DataFrame:
 
 def _words(found: Counter, texts: list, langs: list) -> None:
     for t, lang in zip(texts, langs, strict=True):
-        found.update((w, lang) for w in LETTERS.findall(t.lower()))
+        found.update((w, lang) for w in words_of(t))
 
 
 def _grams(found: Counter, words: list, langs: list, counts: list) -> None:
@@ -118,9 +127,12 @@ def _grams(found: Counter, words: list, langs: list, counts: list) -> None:
 
 
 def fit(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of the rows for which `labelled` holds and the language and text aren't null: FIT_ROWS of them, by a hash of the id, if there are more."""
+    """A model of the rows for which `labelled` holds and the language and text aren't null; of more than FIT_ROWS a sample of that size, by a hash of id and text.
+
+    Entries seen once are left out, and the WORDS and GRAMS commonest over all languages are kept, so rarer words go by their n-grams.
+    """
     rows = df.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    words = materialise(_counted(bounded_sample(rows, "id", fit_rows).select("text", "lang"), _words), "words")
+    words = materialise(_counted(bounded_sample(rows, fit_rows, FIT_BYTES).select("text", "lang"), _words), "words")
     chars = materialise(_counted(words.select("gram", "lang", "n"), _grams), "grams")
     totals = [{r.lang: r.n for r in t.groupBy("lang").agg(F.sum("n").alias("n")).collect()} for t in (words, chars)]
     langs = sorted(totals[0])
@@ -133,9 +145,13 @@ def fit(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str =
     return Model(langs, table(words, WORDS), table(chars, GRAMS), *(np.array([t.get(lang, 0) for lang in langs], np.float64) for t in totals))
 
 
-
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score. Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned."""
+    """One row per input row: doc_id, lang_pred, score.
+
+    Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned. On ties the first language by name is
+    taken; equal texts score the same. A text of any length is scored whole, 100,000 words at a time. Null and repeated ids are carried along; other
+    columns of any name are ignored. An empty table gives an empty result.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import bounded_sample
 
-#: Labelled rows that the model is fitted on at most; token types with a vector of their own; a vector's length and non-zeros.
-FIT_ROWS, TYPES, DIM, NONZERO = 6000, 20_000, 64, 6
+#: Labelled rows that the model is fitted on at most, and their bytes; token types with a vector of their own; a vector's length and non-zeros.
+FIT_ROWS, FIT_BYTES, TYPES, DIM, NONZERO = 6000, 48 << 20, 20_000, 64, 6
 #: Hidden units, epochs, tokens on each side that count as around; types that a worker remembers.
 HIDDEN, EPOCHS, AROUND, REMEMBERED = 24, 60, 2, 400_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -181,14 +181,18 @@ def _chunks(texts: list[np.ndarray], most: int = 50_000) -> Iterator[np.ndarray]
 
 
 def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of rows with a label of 0 or 1: `fit_rows` of them, by a hash of the id, if there are more. Without both labels the score is the share of 1."""
+    """A model of rows with a label of 0 or 1; of more than `fit_rows` (or FIT_BYTES) a sample of that size, by a hash of id and text.
+
+    Null text counts as empty; null and repeated ids are rows like others. Without both labels every score is the share of 1, or 0.5 without rows.
+    """
     rows = df.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(TOKEN.findall(t)) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], ["id", "tokens", "label"])
 
-    got = bounded_sample(rows, "id", fit_rows).mapInArrow(tokens, "id long, tokens string, label int").toArrow().sort_by("id")
+    got = bounded_sample(rows, fit_rows, FIT_BYTES).mapInArrow(tokens, "id long, tokens string, label int").toArrow()
+    got = got.sort_by([("id", "ascending"), ("tokens", "ascending"), ("label", "ascending")])
     y = np.array(got.column("label").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros((1, DIM), np.float32), None, float(y.mean()) if len(y) else 0.5)
@@ -208,20 +212,27 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: st
     return Model(ids, vectors, network, float(y.mean()))
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its own columns and `score`, the probability of label 1; null text counts as empty. A column named score is replaced."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """df with its own columns and the probability of label 1 as the last, `out`.
+
+    Null text counts as empty. Equal texts score the same, so repeated rows and ties come out equal. A text of any length is scored whole, 50,000 tokens
+    at a time. Columns are taken by place, so others may have any name; if one is named `out` (in any case) this raises ValueError, as none is
+    replaced. An empty table gives an empty result.
+    """
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the column {out} exists: name another")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    df = df.drop("score")
+    at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         pool = Pooler(m.ids, m.vectors)
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            texts = b.column(at).to_pylist()
             if m.network and texts:
                 score = m.network.probability(np.stack([pool(t or "") for t in texts]))
             else:
                 score = np.full(len(texts), m.share)
-            yield b.append_column("score", pa.array(score, pa.float64()))
+            yield b.append_column(out, pa.array(score, pa.float64()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bounded_sample, materialise
-from tidegauge.llm.lang_id import LETTERS
+from tidegauge.llm.lang_id import words_of
 
-#: Rows that the model is fitted on at most: positives and unlabelled.
-FIT_POSITIVE, FIT_UNLABELLED = 3000, 9000
+#: Rows that the model is fitted on at most: positives and unlabelled; bytes of text of each.
+FIT_POSITIVE, FIT_UNLABELLED, FIT_BYTES = 3000, 9000, 128 << 20
 #: n-grams kept after screening, their lengths, members, steps, and words that a worker remembers.
 GRAMS, LENGTHS, MEMBERS, STEPS, REMEMBERED = 1500, (4, 5, 6, 7, 8), 3, 250, 300_000
 #: Words to which a longer text's counts are scaled down.
@@ -61,7 +61,7 @@ class Scorer:
         self.sums = np.zeros((REMEMBERED, len(self.model.bias)), np.float32)
 
     def __call__(self, text: str) -> float:
-        words, total = LETTERS.findall(text.lower()), np.zeros(len(self.model.bias))
+        words, total = words_of(text), np.zeros(len(self.model.bias))
         for i in range(0, len(words), 100_000):
             part = words[i : i + 100_000]
             new = set(part).difference(self.ids)
@@ -109,13 +109,14 @@ def nnpu_fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], features: int, positi
 def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", positive_col: str = "positive", known_col: str = "known") -> Model:
     """A model of rows with text: positive_col marks the confirmed toxic, known_col those with any label, whose toxic share is the prior.
 
-    Without a positive every score is the prior's floor, near 0. FIT_POSITIVE and FIT_UNLABELLED rows are taken, by a hash of the id, if there are more.
+    Without a positive every score is the prior's floor, near 0. Of more than FIT_POSITIVE and FIT_UNLABELLED rows (or FIT_BYTES) a sample
+    of that size is taken by a hash of id and text.
     """
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(positive_col).alias("positive"), F.col(known_col).alias("known"))
     known, toxic = rows.agg(F.count_if("known"), F.count_if("positive")).first()
     prior = min(max(toxic / max(known, 1), 0.005), 0.5)
-    unlabelled = bounded_sample(rows, "id", FIT_UNLABELLED).withColumn("positive", F.lit(False))  # the prior is that of all rows, so positives are among them
-    sample = bounded_sample(rows.where("positive"), "id", FIT_POSITIVE).unionByName(unlabelled)
+    unlabelled = bounded_sample(rows, FIT_UNLABELLED, FIT_BYTES).withColumn("positive", F.lit(False))  # the prior is that of all rows, so positives are among them
+    sample = bounded_sample(rows.where("positive"), FIT_POSITIVE, FIT_BYTES).unionByName(unlabelled)
     sample = materialise(sample.select("text", "positive"), "sample")
     top = _screen(sample)
     ids = {g: i for i, g in enumerate(top)}
@@ -137,7 +138,7 @@ def _screen(sample: DataFrame) -> list[str]:
         for b in batches:
             found = (Counter(), Counter())
             for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = LETTERS.findall(t.lower())
+                ws = words_of(t)
                 cut = Counter(ws)
                 for w, k in cut.items():
                     found[p][w] += k * _scale(len(ws))
@@ -175,7 +176,7 @@ def _features(sample: DataFrame, ids: dict[str, int]) -> tuple[np.ndarray, ...]:
         for b in batches:
             out = ([], [], [], [])
             for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words, found = LETTERS.findall(t.lower()), Counter()
+                words, found = words_of(t), Counter()
                 for w, k in Counter(words).items():
                     if w not in known:
                         if len(known) > REMEMBERED:
@@ -195,7 +196,12 @@ def _features(sample: DataFrame, ids: dict[str, int]) -> tuple[np.ndarray, ...]:
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1). Null text counts as empty and scores by the bias alone."""
+    """One row per input row: doc_id, score (0 to 1).
+
+    Null text counts as empty, and texts without a word score by the bias alone. Equal texts score the same, so repeated rows and ties come out
+    equal. A text of any length is scored whole, 100,000 words at a time. Null and repeated ids are carried along; other columns of any name are
+    ignored. An empty table gives an empty result; without a positive to learn from every score is the prior.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
