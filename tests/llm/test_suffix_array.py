@@ -20,7 +20,7 @@ def brute(rows, window):
             if seen[t[a : a + window]] > 1:
                 gone[a : a + window] = True
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        out.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int)) == -1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int)) == -1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return sorted(out, key=str)
 
 
@@ -101,6 +101,7 @@ def test_range_min():
 def test_empty_table_and_pipeline_stage(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in planted()], DOCS)
     assert sa.repeat_report(df.where("false")).collect() == []
-    out = sa.drop_repeats(df.withColumn("spans", df.lang), 64)
-    assert out.columns == [*df.columns, "spans"] and out.count() == df.count()
+    clash = ("spans", "__spans", "row", "k1", "f1")
+    out = sa.drop_repeats(df.select("*", *(df.lang.alias(c) for c in clash)), 64)
+    assert out.columns == [*df.columns, *clash] and out.count() == df.count()
     assert {r.text for r in out.where("doc_id = 300").collect()} == {""} and out.where("doc_id = 300").first().n_chars == 0

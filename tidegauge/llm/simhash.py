@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import materialise, utf8
 from tidegauge.llm.components import connected_components
 
-#: Fingerprints that the shard tree is fitted on; all are dealt by it.
-SAMPLE = 16_384
+#: Fingerprints that the shard tree is fitted on: LEAST, or PER_SHARD for each shard, MOST (8 MB) at most; all are dealt by it.
+LEAST, PER_SHARD, MOST = 16_384, 16, 1 << 20
 #: Classes meant for a shard, and for a leaf of a shard's own tree.
 SHARD, LEAF = 8_192, 384
 
@@ -119,8 +119,9 @@ class VPTree:
 def hamming_links(classes: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b), a < b, between the classes (fp, rep) whose fingerprints differ in `radius` bits at most; fp is unique."""
     n = classes.count()
-    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(max(n, 1))) < SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    shards = min(SAMPLE // 16, -(-n // SHARD))
+    shards = min(MOST // PER_SHARD, -(-n // SHARD))
+    size = max(LEAST, PER_SHARD * shards)
+    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(max(n, 1))) < size).select("fp").toPandas()["fp"].to_numpy(np.int64)
     tree = VPTree(np.sort(sample).view(np.uint64), max(8, len(sample) // max(1, shards)))
     tree.points, shards, tree.leaves = None, len(tree.leaves), []
     tree.rng = None
@@ -182,7 +183,7 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable through links).
 
-    Null text counts as empty, and texts without words share fingerprint zero. Rows that share an id are one document, so their texts'
+    Null text counts as empty, and texts without words share fingerprint zero. A text of any length is fingerprinted whole. Rows that share an id are one document, so their texts'
     classes are in one component. A null id is linked by its text too; a fingerprint that only null ids have stays
     apart, with component_id null. Other columns of any name are ignored; an empty table gives an empty result.
     """
@@ -191,9 +192,3 @@ def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, id_col: s
     comp = connected_components(hamming_links(classes.where("rep is not null"), radius))
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The document of each component whose id is smallest, with the columns of docs."""
-    kept = simhash_components(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")

@@ -354,11 +354,12 @@ def _hot_windows(strings: DataFrame, window: int) -> DataFrame:
     return per.select("owner", "sig", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("spans"))
 
 
-def _spans_by_row(df: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    text = utf8(F.col(text_col))
-    k1, k2 = _key(id_col, text)
-    found = repeated_spans(df, window, id_col, text_col).toDF("__f1", "__f2", "__spans")
-    return df.withColumns({"__k1": k1, "__k2": k2}).join(found, (F.col("__k1") == F.col("__f1")) & (F.col("__k2") == F.col("__f2")), "left").drop("__k1", "__k2", "__f1", "__f2")
+def _by_row(df: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """One column `row`, a struct of df's columns whatever their names, and `spans`."""
+    k1, k2 = _key(id_col, utf8(F.col(text_col)))
+    found = repeated_spans(df, window, id_col, text_col).toDF("f1", "f2", "spans")
+    rows = df.select(F.struct(*df.columns).alias("row"), k1, k2)
+    return rows.join(found, (rows["k1"] == found["f1"]) & (rows["k2"] == found["f2"]), "left").select("row", "spans")
 
 
 def removed_runs(starts: list[int] | None, window: int) -> list[tuple[int, int]]:
@@ -382,10 +383,10 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def repeat_report(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the text that is left, without characters that were cut.
 
-    Null text counts as empty; texts shorter than the window keep all. Repeated rows are separate texts, which repeat each other. Ids
-    may be null or repeated; other columns of any name are ignored. An empty table gives an empty result.
+    Null text counts as empty; texts shorter than the window keep all. A text of any length is treated whole. Repeated rows are separate texts,
+    which repeat each other. Ids may be null or repeated; other columns of any name are ignored. An empty table gives an empty result.
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,24 +394,31 @@ def repeat_report(df: DataFrame, window: int = 400, id_col: str = "doc_id", text
             rows = []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 runs = removed_runs(spans, window)
-                rows.append((len(t), sum(y - x for x, y in runs), len(runs), hashlib.sha256(_kept(t, runs)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = _kept(t, runs)
+                rows.append((len(t), sum(y - x for x, y in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    found = _spans_by_row(slim, window, "id", "body")
-    return found.select("id", utf8(F.col("body")).alias("text"), "__spans").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _by_row(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")), window, "id", "body")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    return found.select("row.id", utf8(F.col("row.body")).alias("text"), "spans").mapInArrow(report, schema)
 
 
 def drop_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs with their own columns, text without the repeated bytes and n_chars as the new text's; bytes of a character that is cut go too."""
+    """docs with their own columns, text without the repeated bytes and n_chars as the new text's; bytes of a character that is cut go too.
+
+    Every row stays, one with a null text as it is. Repeated rows repeat each other, so they lose all that fills a window. Other columns may have any
+    name. A text of any length is treated whole; an empty table gives an empty result.
+    """
+    names = docs.columns
+    at = names.index("text")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, j = b.schema.get_field_index("text"), b.schema.get_field_index("__spans")
-            new = [t if not s else _kept(t.encode(), removed_runs(s, window)).decode("utf-8", "ignore") for t, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
-            yield b.set_column(i, "text", pa.array(new, pa.string())).drop_columns(["__spans"])
+            cols = b.column(0).flatten()
+            cols[at] = pa.array([t if not s else _kept(t.encode(), removed_runs(s, window)).decode("utf-8", "ignore") for t, s in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = _spans_by_row(docs, window, "doc_id", "text").mapInArrow(strip, docs.schema)
+    out = _by_row(docs, window, "doc_id", "text").mapInArrow(strip, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
