@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import os
+import time
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegauge.llm import packing, warc
+from tidegauge.llm import common, packing, warc
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, ids string"
@@ -109,11 +110,71 @@ def test_reader_owns_each_record_once_and_survives_false_magic():
     records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(p) + p + b"\r\n\r\n" for p in payloads]
     stored = [zlib.compressobj(0, zlib.DEFLATED, 31) for _ in records]  # stored blocks keep the magic visible
     data = b"".join(z.compress(r) + z.flush() for z, r in zip(stored, records, strict=True))
-    whole = [r for _, r in warc.members(io.BytesIO(data), len(data), 0, len(data))]
+    whole = [r for _, r in warc.members(io.BytesIO(data), 0, len(data))]
     assert whole[0] == records[0]
     for step in (7, 1000, 50_000):
-        found = [m for s in range(0, len(data), step) for m in warc.members(io.BytesIO(data), len(data), s, min(len(data), s + step))]
+        found = [m for s in range(0, len(data), step) for m in warc.members(io.BytesIO(data), s, min(len(data), s + step))]
         assert sorted(set(found)) == sorted(found) and [r for _, r in sorted(found)] == records
-    assert warc.parse(records[1])[1] == payloads[1]
+    assert [p for _, p in warc.records(records[1])] == [payloads[1]]
     with pytest.raises(EOFError):
-        list(warc.members(io.BytesIO(data[:-9]), len(data) - 9, 0, len(data)))
+        list(warc.members(io.BytesIO(data[:-9]), 0, len(data)))
+
+
+def plain(payload, kind="response"):
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), len(payload), payload)
+
+
+def gzip_member(content, name=b"", extra=b""):
+    """A member with a file name and an extra field in its header."""
+    flags = (8 if name else 0) | (4 if extra else 0)
+    head = b"\x1f\x8b\x08" + bytes([flags]) + bytes(6) + (len(extra).to_bytes(2, "little") + extra if extra else b"") + (name + b"\0" if name else b"")
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return head + z.compress(content) + z.flush() + zlib.crc32(content).to_bytes(4, "little") + len(content).to_bytes(4, "little")
+
+
+@pytest.mark.parametrize("name, extra", [(b"n" * 600, b""), (b"", b"\x1f\x8b\x08" * 200), (b"n" * 5000, b"e" * 60_000)])
+def test_headers_of_any_length(name, extra):
+    data = gzip_member(plain(b"one"), name, extra) + gzip_member(plain(b"two"))
+    for step in (len(data), 500):
+        got = [p for s in range(0, len(data), step) for _, c in warc.members(io.BytesIO(data), s, min(len(data), s + step)) for _, p in warc.records(c)]
+        assert got == [b"one", b"two"]
+
+
+def test_several_records_in_a_member_and_blank_lines_before():
+    content = b"\r\n\r\n" + plain(b"a" * 50) + b"\n" + plain(b"", "metadata") + plain(b"WARC/1.0\r\n\r\n")
+    [(at, got)] = warc.members(io.BytesIO(b"junk" + gzip_member(content)), 0, 10_000)
+    assert at == 4 and [(h["warc-type"], p) for h, p in warc.records(got)] == [("response", b"a" * 50), ("metadata", b""), ("response", b"WARC/1.0\r\n\r\n")]
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.records(plain(b"a") + b"rest"))
+
+
+def test_reading_is_linear_in_the_members_of_a_block():
+    data = gzip_member(plain(b"x")) * 20_000
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.members(io.BytesIO(data), 0, len(data))) == 20_000
+    assert time.perf_counter() - began < 10
+
+
+def test_archives_of_another_file_system_and_without_a_broadcast(spark, tmp_path, monkeypatch):
+    """URIs that only the given function can open, on the tasks too."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    base = str(tmp_path)
+
+    def locate(uri):
+        from pyarrow import fs
+
+        assert uri.startswith("store://bucket/")
+        return fs.SubTreeFileSystem(base, fs.LocalFileSystem()), uri.removeprefix("store://bucket/")
+
+    df = spark.createDataFrame([(*r, "e") for r in ROWS], PAGES).repartition(3)
+    manifest = warc.write_warc(df, "store://bucket/in/here", locate)
+    assert all(r.path.startswith("store://bucket/in/here/part-") for r in manifest.collect())
+    got = warc.read_warc(manifest, 1000, locate).collect()
+    assert len(got) == len(ROWS) and {r.url for r in got if r.record_type == "revisit"} == {"http://a/5", "", "u"}
+    assert {r.payload_digest for r in got if r.page_id == 7} == {hashlib.sha256(b"x" * 100).hexdigest()}
+
+
+def test_uris_keep_their_file_system(tmp_path):
+    fs, path = warc.located(f"file://{tmp_path}/ab")
+    assert fs.type_name == "local" and path == f"{tmp_path}/ab"
+    assert warc.located(str(tmp_path))[1] == str(tmp_path)
