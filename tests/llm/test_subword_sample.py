@@ -1,10 +1,12 @@
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
+from tidegauge.llm import queries
 from tidegauge.llm import subword_sample as ss
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +78,70 @@ def test_a_dominant_cut_leaves_the_rest_reachable(sampler):
     assert {tuple(i) for i, *_ in found} == set(want)
 
 
+@pytest.mark.parametrize("text", ["to", "the", "ooooo", "international", "no one"])
+def test_asked_for_all_paths_gives_each_once(sampler, text):
+    want = all_paths(sampler, text)
+    found = sampler.sample_batch([text], len(want) + 3, [3])[0]
+    ids = [tuple(i.tolist()) for i, *_ in found]
+    assert len(ids) == len(set(ids)) == len(want) and set(ids) == set(want)
+    assert all(abs(p - want[i]) < 1e-6 for i, (_, p, *_) in zip(ids, found, strict=True))
+    assert {q for *_, q in found} == {1.0}
+
+
+def test_what_is_left_of_a_word_is_exact(sampler):
+    """Against sums over all cuts, also where one minus the share has no digits."""
+    sampler.sample_batch(["internal"], 1, [1])
+    [word] = sampler.units("internal")
+    row, table = sampler.lattices.at[word], sampler.lattices
+    want = all_paths(sampler, "internal")
+    log, own, place, column = table.walk(np.array([row]), np.array([row + len(word)]), np.array([5], np.uint64), 0)
+    ids = tuple(table.piece[place, column].tolist())
+    rest = math.log(sum(math.exp(w) for i, w in want.items() if i != ids))
+    assert table.others(log, own, place, column)[0] == pytest.approx(rest, abs=1e-6)
+    trie, kept = ss.Out(), dict(want)
+    for at in range(40):
+        cut = table.draw_left(trie, row, row + len(word), [((at * 37 + c * 11) % 101 + 0.5) / 102 for c in range(len(word))])
+        spots = row + np.cumsum([0, *(c + 1 for c in cut[:-1])])
+        del kept[tuple(table.piece[spots, list(cut)].tolist())]
+        table.exclude(trie, row, row + len(word), cut)
+        assert trie.left == pytest.approx(math.log(sum(map(math.exp, kept.values()))), abs=1e-6)
+
+
+def test_ties_and_equal_rows_draw_alike(sampler):
+    a, b = sampler.sample_batch(["tie tie", "tie tie"], 4, [9, 9])
+    assert [(tuple(i), p, g, q) for i, p, g, q in a] == [(tuple(i), p, g, q) for i, p, g, q in b]
+
+
+def test_query_rows_against_plain_encoding(spark, sampler):
+    """Every row of the registered query: pieces that spell the text, the log share of the cut by recursion over its words, distinct draws."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op5_subword_sample(spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts) and all(r.round_trip for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    lat, mass = sampler.lattices, {}
+    weights = dict(zip(lat.ids.tolist(), lat.weights.tolist(), strict=True))
+    pieces = {sampler.model.id_to_piece(i): w for i, w in weights.items()}
+    for i, found in by.items():
+        assert len({tuple(r.ids) for r in found}) == len(found) and [r.draw for r in found] == list(range(1, len(found) + 1))
+        total = 0.0
+        for word in sampler.units(texts[i]):
+            if word not in mass:
+                below = [0.0] * (len(word) + 1)
+                for a in range(len(word) - 1, -1, -1):
+                    logs = [pieces[word[a:b]] + below[b] for b in range(a + 1, min(len(word), a + lat.width) + 1) if word[a:b] in pieces]
+                    if word[a] not in pieces:
+                        logs.append(ss.BYTE * len(sampler._bytes(word[a])) + below[a + 1])
+                    below[a] = max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs))
+                mass[word] = below[0]
+            total += mass[word]
+        for r in found:
+            assert r.log_p == pytest.approx(sum(weights.get(x, ss.BYTE) for x in r.ids) - total, abs=1e-6 * max(1, abs(total)))
+
+
 def test_queries_edge_cases(spark):
     rows = [(1, "plain words"), (2, None), (3, ""), (None, "no key"), (4, "dup"), (4, "dup"), (5, "long " * 20_000), (6, "ünï ☃ \x00 \t tabs\r\n"), (7, "  two  spaces ")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")

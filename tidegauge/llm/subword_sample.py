@@ -5,7 +5,8 @@ word, so the lattice is a chain of word lattices; a path's log-probability is th
 path space: "the same choices before word j, another choice at j, anything after". A region's priority is the largest
 perturbed log-probability in it, drawn as a Gumbel with the region's exact total mass as its location, truncated by its parent's. The
 best region is popped, its best path is a draw from the region's distribution; the rest is split into a region per word, all at once
-in numpy. The first k pops are k distinct paths drawn without replacement; with the (k+1)-th as threshold each has an
+in numpy. What is out of a word is kept as a trie over its lattice: the mass that is left is a sum of terms that are never taken away from
+each other, and a draw from it walks the trie, so no cut is lost, however small its share. The first k pops are k distinct paths drawn without replacement; with the (k+1)-th as threshold each has an
 inclusion score 1 - exp(-exp(log p - threshold)). Draws are seeded by the row's key.
 
 Piece weights come from the model's merge ranks by a Zipf law, as BPE models carry ranks, not probabilities. Nothing is trained.
@@ -53,11 +54,22 @@ def _gumbel(mass: np.ndarray, u: np.ndarray) -> np.ndarray:
     return mass - np.log(-np.log(u))
 
 
+class Out:
+    """A node of the trie of a word's cuts that are out: what is behind each column, and the log mass that is left from here on."""
+
+    __slots__ = ("behind", "left")
+
+    def __init__(self) -> None:
+        self.behind: dict[int, Out] = {}
+        self.left = 0.0
+
+
 class Lattices:
     """Word lattices as one table: a row per character of each word, with the cumulative share, log share and id of each piece that starts there.
 
     Rows are made for all new words of a length at once: hashes of all substrings are looked up in the sorted hashes of the pieces, then log
     masses are summed from the right. Column c holds the piece of c+1 characters. Id -1 stands for a character's bytes, where they are several.
+    A cut of a word is the tuple of its columns.
     """
 
     def __init__(self, pieces: dict[str, tuple[int, float]], to_bytes):
@@ -65,6 +77,8 @@ class Lattices:
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
+        self.seen = np.zeros(1 << 20, bool)  # by the upper bits of a hash: most substrings are no piece
+        self.seen[self.hashes >> np.uint64(44)] = True
         self.ids = np.array([i for i, _ in pieces.values()], np.int32)[order]
         self.weights = np.array([w for _, w in pieces.values()], np.float64)[order]
         self.reset()
@@ -73,7 +87,7 @@ class Lattices:
         self.at: dict[str, int] = {}
         self.rows = 0
         most = REMEMBERED + (1 << 16)
-        self.share, self.log, self.piece = np.empty((most, self.width), np.float32), np.empty((most, self.width)), np.empty((most, self.width), np.int32)
+        self.share, self.log, self.piece = np.empty((most, self.width)), np.empty((most, self.width)), np.empty((most, self.width), np.int32)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -101,94 +115,157 @@ class Lattices:
     def _add(self, words: list[str], n: int) -> None:
         m, width = len(words), min(n, self.width)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
-        weight, piece = np.full((n, width, m), -np.inf), np.full((n, width, m), -1, np.int32)
+        weight, piece, share = np.full((m, n, width), -np.inf), np.full((m, n, width), -1, np.int32), np.full((m, n, width), 2.0)
         h = np.zeros((m, n), np.uint64)
         for c in range(width):
             h = h[:, : n - c] * _STEP + code[:, c:]
-            spot = np.minimum(np.searchsorted(self.hashes, h.ravel()), len(self.hashes) - 1)
-            known = (self.hashes[spot] == h.ravel()).reshape(h.shape)
-            spot = spot.reshape(h.shape)
-            weight[: n - c, c] = np.where(known, self.weights[spot], -np.inf).T
-            piece[: n - c, c] = np.where(known, self.ids[spot], -1).T
-        for i, j in zip(*np.nonzero(piece[:, 0] < 0), strict=True):
+            word, place = np.nonzero(self.seen[h >> np.uint64(44)])
+            some = h[word, place]
+            spot = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+            known = self.hashes[spot] == some
+            word, place, spot = word[known], place[known], spot[known]
+            weight[word, place, c] = self.weights[spot]
+            piece[word, place, c] = self.ids[spot]
+        for j, i in zip(*np.nonzero(piece[:, :, 0] < 0), strict=True):
             ids = self.to_bytes(words[j][i])
-            weight[i, 0, j] = BYTE * len(ids)
+            weight[j, i, 0] = BYTE * len(ids)
             if len(ids) == 1:
-                piece[i, 0, j] = ids[0]
-        below = np.zeros((n + 1, m))
+                piece[j, i, 0] = ids[0]
+        below = np.zeros((m, n + 1))
         for i in range(n - 1, -1, -1):
             k = min(width, n - i)
-            logs = weight[i, :k] + below[i + 1 : i + 1 + k]
-            top = logs.max(0)
-            below[i] = top + np.log(np.exp(logs - top).sum(0))
-            weight[i, :k] = logs - below[i]
+            logs = weight[:, i, :k] + below[:, i + 1 : i + 1 + k]
+            top = logs.max(1, keepdims=True)
+            parts = np.exp(logs - top)
+            total = parts.sum(1, keepdims=True)
+            below[:, i] = (top + np.log(total))[:, 0]
+            weight[:, i, :k] = logs - below[:, i, None]
+            np.cumsum(parts / total, axis=1, out=share[:, i, :k])
         self._room(n * m)
         rows = slice(self.rows, self.rows + n * m)
-        full = weight.transpose(2, 0, 1).reshape(n * m, width)
-        self.share[rows, :width] = np.cumsum(np.exp(full), axis=1)
+        full = weight.reshape(n * m, width)
+        self.share[rows, :width] = share.reshape(n * m, width)
         self.share[rows, width:] = 2.0
         self.log[rows, width:] = -np.inf
         self.log[rows, :width] = full
-        self.piece[rows, :width] = piece.transpose(2, 0, 1).reshape(n * m, width)
+        self.piece[rows, :width] = piece.reshape(n * m, width)
         # the last piece takes the rest of the shares, whatever rounding left
         last = width - 1 - np.argmax(np.isfinite(full[:, ::-1]), axis=1)
         self.share[np.arange(rows.start, rows.stop), last] = 2.0
         self.at.update((w, self.rows + k * n) for k, w in enumerate(words))
         self.rows += n * m
 
-    def walk(self, row: np.ndarray, end: np.ndarray, seed: np.ndarray, draw: int, tries: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A cut of each word [row, end): log shares by word, then (word, row, piece id) of each piece, by word and place."""
+    def walk(self, row: np.ndarray, end: np.ndarray, seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A cut of each word [row, end): log shares by word, then (word, row, column) of each piece, by word and place."""
         live, at = np.arange(len(row)), row.copy()
         log, steps = np.zeros(len(row)), []
-        seed = _mix(seed + _STEP * (np.array([draw], np.uint64) + np.uint64(1 << 20) * np.atleast_1d(tries).astype(np.uint64)))
+        seed = self.turn(seed, draw)
         while len(live):
-            u = uniform(seed[live], at[live] - row[live]).astype(np.float32)
-            c = np.argmax(self.share[at[live]] > u[:, None], axis=1)
-            steps.append((live, at[live].copy(), self.piece[at[live], c]))
-            log[live] += self.log[at[live], c]
-            at[live] += c + 1
+            spot = at[live]
+            c = np.argmax(self.share[spot] > uniform(seed[live], spot - row[live])[:, None], axis=1)
+            steps.append((live, spot, c))
+            log[live] += self.log[spot, c]
+            at[live] = spot + c + 1
             live = live[at[live] < end[live]]
-        word, place, piece = (np.concatenate([s[i] for s in steps]) if steps else np.zeros(0, np.int64) for i in range(3))
-        order = np.lexsort((place, word))
-        return log, word[order], place[order], piece[order]
+        word, place, column = (np.concatenate([s[i] for s in steps]) if steps else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(word, kind="stable")  # a word's steps come in order of place
+        return log, word[order], place[order], column[order]
+
+    @staticmethod
+    def turn(seed: np.ndarray, draw: int) -> np.ndarray:
+        return _mix(seed + np.uint64(int(_STEP) * draw & (1 << 64) - 1))
+
+    def others(self, log: np.ndarray, word: np.ndarray, place: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Log mass of each word's other cuts, from the log shares of its cut. Where one minus the share would lose digits, it is summed up step by step."""
+        with np.errstate(divide="ignore"):
+            rest = np.log(-np.expm1(np.minimum(log, 0.0)))
+        if len(fine := np.flatnonzero(log > -1e-9)):
+            number = np.full(len(log), -1)
+            number[fine] = np.arange(len(fine))
+            at = np.flatnonzero(number[word] >= 0)
+            own, spot, c = number[word[at]], place[at], column[at]
+            logs = self.log[spot].copy()
+            taken = logs[np.arange(len(c)), c]
+            logs[np.arange(len(c)), c] = -np.inf
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            before = np.cumsum(taken) - taken
+            before -= np.repeat(before[first], np.diff(first, append=len(own)))
+            rest[fine] = np.logaddexp.reduceat(before + np.logaddexp.reduce(logs, axis=1), first)
+        return rest
+
+    def _options(self, node: Out | None, at: int, end: int) -> list[tuple[float, int]]:
+        """(log mass without what is out, column) of each piece at a place."""
+        logs = [(w, c) for c, w in enumerate(self.log[at, : end - at].tolist()) if w > -math.inf]
+        return [(w + node.behind[c].left if c in node.behind else w, c) for w, c in logs] if node else logs
+
+    def exclude(self, node: Out, at: int, end: int, cut: tuple[int, ...]) -> None:
+        """Take a cut of [at, end) out; it isn't out yet."""
+        path = [(node, at)]
+        for c in cut:
+            node, at = node.behind.setdefault(c, Out()), at + c + 1
+            path.append((node, at))
+        node.left = -math.inf
+        for node, at in reversed(path[:-1]):
+            logs = [w for w, _ in self._options(node, at, end)]
+            top = max(logs)
+            node.left = top if top == -math.inf else top + math.log(sum(math.exp(w - top) for w in logs))
+
+    def draw_left(self, node: Out | None, row: int, end: int, u: list[float]) -> tuple[int, ...]:
+        """One of the cuts that aren't out, by its share among them; u has a number for each character."""
+        at, cut = row, []
+        while at < end:
+            if node:
+                options = [o for o in self._options(node, at, end) if o[0] > -math.inf]
+                top = max(o[0] for o in options)
+                x = u[at - row] * sum(math.exp(w - top) for w, _ in options)
+                for w, c in options:  # noqa: B007  the last one takes what rounding leaves
+                    x -= math.exp(w - top)
+                    if x <= 0:
+                        break
+                node = node.behind.get(c)
+            else:
+                c = int(np.argmax(self.share[at] > u[at - row]))
+            cut.append(c)
+            at += c + 1
+        return tuple(cut)
 
 
 class Search:
-    """A text's regions and the paths found so far. A path is (piece ids, where each word's end, log share of each word, priority)."""
+    """A text's regions and the paths found so far. A path is (row and column of each piece, where each word's end, log share of each word, priority)."""
 
-    def __init__(self, words: list[str], seed: int):
-        self.words, self.seed, self.number, self.found = words, np.array([seed], np.uint64), 0, []
+    def __init__(self, row: np.ndarray, end: np.ndarray, seed: int):
+        self.row, self.end, self.seed, self.number, self.found = row, end, np.array([seed], np.uint64), 0, []
         u = float(uniform(self.seed, 1 << 30)[0])
-        # (-priority, number, word j, cuts of word j that are out and their log shares, index of the path that is kept before j)
-        self.heap = [(-float(_gumbel(np.zeros(1), np.array([u]))[0]), 0, 0, {}, -1)]
+        # (-priority, number, word j, the trie of word j's cuts that are out, or the only one, index of the path that is kept before j)
+        self.heap = [(-float(_gumbel(np.zeros(1), np.array([u]))[0]), 0, 0, None, -1)]
 
-    def pop(self) -> None:
+    def pop(self, table: Lattices) -> None:
         top, _, self.j, self.out, self.origin = heapq.heappop(self.heap)
         self.top = -top
+        if isinstance(self.out, tuple):
+            cut, self.out = self.out, Out()
+            table.exclude(self.out, int(self.row[self.j]), int(self.end[self.j]), cut)
 
-    def finish(self, ids: np.ndarray, ends: np.ndarray, logs: np.ndarray, k: int) -> None:
-        """Take the drawn path of the popped region, whose words from j on are given, and split the rest."""
+    def finish(self, place: np.ndarray, column: np.ndarray, stops: np.ndarray, logs: np.ndarray, rest: np.ndarray, k: int) -> None:
+        """Take the drawn path of the popped region, whose words from j on are given with the log mass that each has left, and split the rest."""
         j = self.j
-        if self.origin >= 0 and j:
-            old_ids, old_ends, old_logs = self.found[self.origin][:3]
-            cut = old_ends[j - 1]
-            ids, ends, logs = np.concatenate([old_ids[:cut], ids]), np.concatenate([old_ends[:j], ends + cut]), np.concatenate([old_logs[:j], logs])
-        self.found.append((ids, ends, logs, self.top))
-        reach = np.cumsum(logs) - logs
-        rest = -np.expm1(np.minimum(logs[j:], 0.0))
-        rest[0] -= sum(map(math.exp, self.out.values()))
-        at = np.flatnonzero(rest > 1e-12)
+        if j:
+            old = self.found[self.origin]
+            cut = old[2][j - 1]
+            place, column = np.concatenate([old[0][:cut], place]), np.concatenate([old[1][:cut], column])
+            stops, logs = np.concatenate([old[2][:j], stops + cut]), np.concatenate([old[3][:j], logs])
+        self.found.append((place, column, stops, logs, self.top))
+        at = np.flatnonzero(rest > -np.inf)
         if not len(at):
             return
-        mass = reach[j:][at] + np.log(rest[at])
+        mass = (np.cumsum(logs) - logs)[j:][at] + rest[at]
         g = _gumbel(mass, uniform(np.repeat(self.seed, len(at)), len(self.found), at + j + (1 << 31)))
         g = -np.logaddexp(-g, -self.top)  # conditioned to lie below the parent's: the total of the parts has the parent's as its largest
         for x in np.argsort(-g, kind="stable")[: k + 1]:  # regions further down can't be popped
             i = j + int(at[x])
-            out = dict(self.out) if i == j else {}
-            out[tuple(ids[ends[i - 1] if i else 0 : ends[i]].tolist())] = float(logs[i])
+            own = tuple(column[stops[i - 1] if i else 0 : stops[i]].tolist())
             self.number += 1
-            heapq.heappush(self.heap, (-float(g[x]), self.number, i, out, len(self.found) - 1))
+            heapq.heappush(self.heap, (-float(g[x]), self.number, i, self.out if i == j and self.out else own, len(self.found) - 1))  # no other region has this trie
 
 
 class Sampler:
@@ -216,92 +293,76 @@ class Sampler:
         """The normalised text's words; no piece reaches over the end of one."""
         return self.cut.findall(self.model.normalize(text)) if text else []
 
-    def sample_batch(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[list[int], float, float, float]]]:
-        """For each text up to k distinct (ids, log p, perturbed log p, inclusion score), best first; fewer if it has fewer paths."""
-        searches = [Search(self.units(t), s) for t, s in zip(texts, seeds, strict=True)]
-        new = set().union(*(s.words for s in searches)).difference(self.lattices.at)
+    def sample_batch(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text up to k distinct (ids, log p, perturbed log p, inclusion score), best first; fewer only if it has fewer paths."""
+        words = [self.units(t) for t in texts]
+        new = set().union(*words).difference(self.lattices.at)
         if self.lattices.rows + sum(map(len, new)) > REMEMBERED:
             self.lattices.reset()
-            new = set().union(*(s.words for s in searches))
+            new = set().union(*words)
         self.lattices.add(sorted(new))
-        live = [s for s in searches if s.words]
+        flat = [w for ws in words for w in ws]
+        row = np.fromiter(map(self.lattices.at.__getitem__, flat), np.int64, len(flat))
+        end = row + np.fromiter(map(len, flat), np.int64, len(flat))
+        stops = np.cumsum([0, *map(len, words)]).tolist()
+        searches = [Search(row[a:b], end[a:b], s) for a, b, s in zip(stops, stops[1:], seeds, strict=False)]
+        live = [s for s in searches if len(s.row)]
         for draw in range(k):
             live = [s for s in live if s.heap]
             for s in live:
-                s.pop()
+                s.pop(self.lattices)
             for s, path in zip(live, self._paths(live, draw), strict=True):
                 s.finish(*path, k)
         out = []
-        for s in searches:
-            if not s.words:
-                out.append([([], 0.0, 0.0, 1.0)])
+        for s, ws in zip(searches, words, strict=True):
+            if not ws:
+                out.append([(np.zeros(0, np.int32), 0.0, 0.0, 1.0)])
                 continue
             bar = -s.heap[0][0] if s.heap else -math.inf
             out.append([])
-            for ids, _, logs, g in s.found:
+            for place, column, ends, logs, g in s.found:
                 p = float(logs.sum())
-                out[-1].append((ids.tolist(), p, g, 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(p - bar, 30.0)))))
+                out[-1].append((self._ids(ws, s.row, place, column, ends), p, g, 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(p - bar, 30.0)))))
         return out
 
-    def _paths(self, live: list[Search], draw: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(piece ids, ends, log shares) of the words from each search's word j on; word j's cut is drawn again until it isn't one of those that are out."""
-        get = self.lattices.at.__getitem__
-        words = [w for s in live for w in s.words[s.j :]]
-        sizes = np.array([len(s.words) - s.j for s in live], np.int64)
-        row = np.fromiter(map(get, words), np.int64, len(words))
-        end = row + np.fromiter(map(len, words), np.int64, len(words))
+    def _paths(self, live: list[Search], draw: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, column) of the pieces, each word's end, log share and what is left of it, of the words from each search's word j on; word j's cut is none that is out."""
+        none = np.zeros(0, np.int64)
+        row, end = (np.concatenate([none, *(x[s.j :] for x, s in zip(xs, live, strict=True))]) for xs in ([s.row for s in live], [s.end for s in live]))
+        sizes = np.array([len(s.row) - s.j for s in live], np.int64)
         first = np.cumsum(sizes) - sizes
-        place = np.arange(len(words)) - np.repeat(first - np.array([s.j for s in live], np.int64), sizes)
-        seed = _mix(np.repeat(np.array([s.seed[0] for s in live], np.uint64), sizes) + _STEP * place.astype(np.uint64))
-        log, word, at, piece = self.lattices.walk(row, end, seed, draw)
-        ids, ends = self._pieces(words, row, word, at, piece)
-        out = []
+        number = np.arange(len(row)) - np.repeat(first - np.array([s.j for s in live], np.int64), sizes)
+        seed = _mix(np.repeat(np.array([s.seed[0] for s in live], np.uint64), sizes) + _STEP * number.astype(np.uint64))
+        table = self.lattices
+        log, word, place, column = table.walk(row, end, seed, draw)
+        rest = table.others(log, word, place, column)
+        ends = np.cumsum(np.bincount(word, minlength=len(row)))
         for f, n, s in zip(first.tolist(), sizes.tolist(), live, strict=True):
-            start = ends[f - 1] if f else 0
-            own, stops, logs, tries = ids[start : ends[f + n - 1]], ends[f : f + n] - start, log[f : f + n], 0
-            cut = head = tuple(own[: stops[0]].tolist()) if s.out else None
-            while s.out and cut in s.out:
-                tries += 1
-                if tries > 20:
-                    cut, logs[0] = self._list(words[f], s.out, float(uniform(seed[f : f + 1], tries, draw)[0]))
-                    break
-                one = slice(f, f + 1)
-                again = self.lattices.walk(row[one], end[one], seed[one], draw, tries)
-                cut, logs[0] = tuple(self._pieces(words[one], row[one], *again[1:])[0].tolist()), again[0][0]
-            if tries:
-                own, stops = np.concatenate([np.array(cut, np.int64), own[stops[0] :]]), stops + len(cut) - len(head)
-            out.append((own, stops, logs))
-        return out
-
-    def _pieces(self, words: list[str], row: np.ndarray, word: np.ndarray, at: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids, characters without a piece as bytes, and where each word's end."""
+            start = int(ends[f - 1]) if f else 0
+            own = slice(start, int(ends[f + n - 1]))
+            where, what, stops, logs, left = place[own], column[own], ends[f : f + n] - start, log[f : f + n], rest[f : f + n]
+            if s.out:
+                a, b = int(row[f]), int(end[f])
+                u = uniform(np.repeat(Lattices.turn(seed[f : f + 1], draw), b - a), np.arange(b - a)).tolist()
+                cut = table.draw_left(s.out, a, b, u)
+                table.exclude(s.out, a, b, cut)
+                spots = a + np.cumsum([0, *(c + 1 for c in cut[:-1])])
+                logs[0], left[0] = table.log[spots, list(cut)].sum(), s.out.left
+                where, what = np.concatenate([spots, where[stops[0] :]]), np.concatenate([np.array(cut, np.int64), what[stops[0] :]])
+                stops = stops + (len(cut) - stops[0])
+            yield where, what, stops, logs, left
+
+    def _ids(self, words: list[str], row: np.ndarray, place: np.ndarray, column: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Piece ids, characters without a piece as bytes."""
+        piece = self.lattices.piece[place, column]
         if len(spots := np.flatnonzero(piece < 0)):
-            ids = [self._bytes(words[word[x]][at[x] - row[word[x]]]) for x in spots.tolist()]
+            word = np.searchsorted(stops, spots, side="right")
+            ids = [self._bytes(words[w][place[x] - row[w]]) for w, x in zip(word.tolist(), spots.tolist(), strict=True)]
             times = np.ones(len(piece), np.int64)
             times[spots] = [len(i) for i in ids]
-            word, piece = np.repeat(word, times), np.repeat(piece, times)
+            piece = np.repeat(piece, times)
             piece[piece < 0] = [x for i in ids for x in i]
-        return piece.astype(np.int64), np.cumsum(np.bincount(word, minlength=len(words)))
-
-    def _list(self, word: str, out: dict, u: float) -> tuple[tuple[int, ...], float]:
-        """One of the word's cuts that are left, for words nearly all of whose mass is out: the 4096 likeliest are listed."""
-        base, heap, left = self.lattices.at[word], [(0.0, 0, ())], []
-        while heap and len(left) < 4096:
-            w, i, ids = heapq.heappop(heap)
-            if i == len(word):
-                if ids not in out:
-                    left.append((ids, -w))
-                continue
-            for c in np.flatnonzero(np.isfinite(self.lattices.log[base + i])):
-                piece = int(self.lattices.piece[base + i, c])
-                heapq.heappush(heap, (w - float(self.lattices.log[base + i, c]), i + int(c) + 1, ids + ((piece,) if piece >= 0 else self._bytes(word[i]))))
-        total = sum(math.exp(w) for _, w in left)
-        x = u * total
-        for ids, w in left:
-            x -= math.exp(w)
-            if x <= 0:
-                break
-        return ids, w
+        return piece
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -321,7 +382,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, key_col: str = "d
 
     round_trip tells that decoding gives the text that encoding by the model itself and decoding gives. The seed is the XXH64 of the key and the
     text, so repeated rows get equal draws, and a null key is seeded by the text. Null text counts as empty: one draw without pieces. Texts with
-    fewer than k segmentations have fewer draws. Other columns of any name are ignored; an empty table gives an empty result.
+    fewer than k segmentations have fewer draws; of equal perturbed values the region that was made first is popped. Texts of any length are cut whole. Other columns of any name are ignored; an empty table gives an empty result.
     """
     fields = [("doc_id", pa.int64()), ("draw", pa.int32()), ("n_pieces", pa.int64()), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
@@ -332,14 +393,18 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, key_col: str = "d
             for at in range(0, b.num_rows, 100):
                 keys, texts = b.column(0).slice(at, 100).to_pylist(), [t or "" for t in b.column(1).slice(at, 100).to_pylist()]
                 seeds = [xxhash.xxh64_intdigest(f"{key}\x00{t}".encode("utf-8", "replace")) for key, t in zip(keys, texts, strict=True)]
-                rows = []
+                rows, cuts = [], []
                 for key, text, found in zip(keys, texts, s.sample_batch(texts, k, seeds), strict=True):
                     plain = s.model.normalize(text).removeprefix(SPACE)
                     for n, (ids, p, g, share) in enumerate(found, 1):
-                        same = s.decode(ids).replace(" ", SPACE) == plain
-                        row = (key, n, len(ids), p, g, share, zlib.crc32(np.array(ids, "<u4").tobytes()), same)
-                        rows.append((*row, ids) if with_ids else row)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        same = s.decode(ids.tolist()).replace(" ", SPACE) == plain
+                        rows.append((key, n, len(ids), p, g, share, zlib.crc32(ids.astype("<u4").tobytes()), same))
+                        cuts.append(ids.astype(np.int32))
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
+                if with_ids:
+                    stops = np.cumsum([0, *map(len, cuts)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(stops, np.concatenate(cuts)))
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     types = "doc_id long, draw int, n_pieces long, log_p double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return df.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, types)
