@@ -14,5 +14,5 @@ def test_a_passage_in_unspaced_text_is_found_at_any_offset(spark):
 
 def test_runs_up_to_a_unit_stay_whole_beside_longer_ones(spark):
     text = f"{'a' * 16} b {'c' * 17} d"
-    got = winnow.F.size(winnow.F.regexp_extract_all(winnow.F.lit(text), winnow.F.lit(winnow.SINGLES), winnow.F.lit(0)))
+    got = winnow.F.size(winnow.F.regexp_extract_all(winnow.F.lit(text), winnow.F.lit(winnow.UNITS), winnow.F.lit(0)))
     assert spark.range(1).select(got).first()[0] == 1 + 1 + 17 + 1

@@ -16,7 +16,8 @@ def turn(x, by):
 
 def brute_kept(text):
     """[(hash, position)] by scanning every window."""
-    h = [xxhash.xxh64_intdigest(u, seed=42) for u in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text or "")]
+    runs = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+    h = [xxhash.xxh64_intdigest(u, seed=42) for r in runs for u in ([r] if len(r) <= 16 else r)]
     h += [0] * (3 - len(h)) if h else []
     g = [(turn(h[i], 2) ^ turn(h[i + 1], 1) ^ h[i + 2]) >> 33 for i in range(len(h) - 2)]
     kept = []
@@ -44,7 +45,7 @@ def brute(rows):
     return out
 
 
-ROWS = [(3, "a b c"), (1, "one two"), (9, None), (4, ""), (5, "x" * 100), (5, "x" * 100), (None, "null id here"), (7, "ta ta ta ta " * 9), (8, "é ü ñ " * 40), (12, "word " * 20_000), (10, " \t\n")]
+ROWS = [(3, "a b c"), (1, "one two"), (9, None), (4, ""), (5, "x" * 100), (5, "x" * 100), (None, "null id here"), (7, "ta ta ta ta " * 9), (8, "é ü ñ " * 40), (12, "word " * 20_000), (10, " \t\n"), (13, "漢字" * 9 + " kurz " + "あいうえお" * 5)]
 
 
 @pytest.mark.parametrize("size", [2000, 2])
@@ -75,3 +76,13 @@ def test_a_shared_passage_of_the_guaranteed_length_is_found(spark):
 def test_plan_has_no_python(spark):
     plan = winnow.edited_report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("glue", ["", "_"])
+def test_the_report_sees_a_shifted_passage_without_spaces(spark, glue):
+    """One character in front must not hide what two texts without spaces share."""
+    han = [chr(0x4E00 + i * 7 % 20_000) for i in range(400)]
+    for shift in (1, 5, 15, 16):
+        rows = [(1, glue.join(han)), (2, "甲" * shift + glue.join(han))]
+        got = {r.doc_id: r.near_next for r in winnow.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert min(got.values()) > 0.85

@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is a sequence of units: runs of up to UNIT characters that aren't white space. Rolling hashes (cyclic polynomials) of
+A text is a sequence of units: runs of up to UNIT characters that aren't white space, and each character of a longer run, so that in text without
+spaces a passage has the same units at any offset. Rolling hashes (cyclic polynomials) of
 K units in a row are taken, and of each window of W such hashes the smallest is kept, the rightmost on ties, with its
 position. Any passage of W+K-1 units that two texts share has a gram that both keep. Hash and position are one
 number, so the smallest of a window is a plain minimum, and minima over W hashes come from doubling: of 2, of 4, of 8.
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Units of a gram (3 is written out in `grams`), hashes of a window (a power of two), characters of a unit at most.
 K, W, UNIT = 3, 8, 16
-#: Units of the report, whose grid restarts at white space only; units of lookups, where each character of a longer run is one, whatever its offset.
-BLOCKS, SINGLES = rf"\S{{1,{UNIT}}}", rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S"
+#: A unit: a run of up to UNIT characters between white space, else a character of a longer run.
+UNITS = rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S"
 #: Documents for a range of ids, and the most ranges: their first ids are broadcast (under 1 MB).
 RANGE, RANGES = 2000, 10_000
 _BITS = 31
@@ -26,13 +27,13 @@ def _turn(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, units: str = BLOCKS) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with array<bigint> `out`: the grams kept, in order, each as hash * 2^31 + (2^31 - 1 - position).
 
     Fewer than K units are one gram of what there is; a text without units (or null) keeps none.
     """
     unit, packed = f"__{out}_units", f"__{out}_packed"
-    df = df.withColumn(unit, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(units), F.lit(0)), lambda u: F.xxhash64(u)))
+    df = df.withColumn(unit, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u)))
     h = F.col(unit)
     none = F.lit(0).cast("long")
     rolled = lambda x, i: _turn(x, 2).bitwiseXOR(_turn(F.coalesce(F.get(h, i + 1), none), 1)).bitwiseXOR(F.coalesce(F.get(h, i + 2), none))
@@ -67,13 +68,12 @@ def likeness(both: Column, a: Column, b: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, grams) for each row: grams has the kept hashes with positions, for lookups of shared passages.
+    """(id, n_chars, grams) for each row: grams has the kept hashes with positions, for lookups of shared passages; the same that edited_report compares.
 
-    Runs of over UNIT characters are taken a character at a time, so a passage is found at any offset in text without spaces too; the
-    hashes there aren't those of edited_report, which cuts such runs into blocks of UNIT.
+    Null text counts as empty and keeps no gram; a text of any length is taken whole. Repeated rows and null ids are rows like others.
     """
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_fingerprint(slim, "text", "kept", SINGLES).select("id", F.char_length("text").cast("long").alias("n_chars"), grams(F.col("kept")).alias("grams"))
+    return with_fingerprint(slim, "text", "kept").select("id", F.char_length("text").cast("long").alias("n_chars"), grams(F.col("kept")).alias("grams"))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], made: callable = lambda x: x) -> DataFrame:
@@ -115,8 +115,8 @@ def edited_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The edited text has the last floor(n/2) code points replaced by the first of the next text, as many or all it has. fingerprint is the
     SHA-256 of the kept grams with positions. Null text counts as empty. Rows go by id, a null id first, then by text;
-    repeated rows follow each other, so the next of the first copy is the second. A lone row is its own next. Other columns of
-    any name are ignored; an empty table gives an empty result.
+    repeated rows follow each other, so the next of the first copy is the second. A lone row is its own next. Texts of any length are taken whole. Other
+    columns of any name are ignored; an empty table gives an empty result.
     """
     lowest = F.lit(-(1 << 63)).cast("long")
     slim = df.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
