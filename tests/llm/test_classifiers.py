@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import lang_id, quality, queries, toxicity
-from tidegauge.llm.common import bounded_sample, held_out
+from tidegauge.llm.common import held_out, ranked
+from tidegauge.llm.common import bounded_sample as sample_of_ranked
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,6 +28,10 @@ def test_folds_and_bounded_sample(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in df.collect())
 
 
+def bounded_sample(df, rows, size):
+    return sample_of_ranked(ranked(df), rows, size)
+
+
 def texts_of(df):
     return sorted((str(r.id), r.text) for r in df.collect())
 

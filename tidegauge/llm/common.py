@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,16 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made inside go when it ends; what is to last must have its path from before."""
+    mark = len(_made)
+    yield
+    for _, path in _made[mark:]:
+        discard(spark, path)
+    del _made[mark:]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -67,6 +80,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a worker holds the Python objects of few texts at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """The test fold: crc32 of the id's decimal text leaves 2 when divided by 4. A null id is in no fold but the training one."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -77,41 +97,55 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-#: Rows of keys that `without` broadcasts (8 to 16 bytes each); more are joined by a shuffle.
+#: Rows of keys that are broadcast (8 to 40 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """keys, marked for a broadcast if a count finds BROADCAST_KEYS rows at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def among(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
+    """The rows of docs that match a row of `keys` by all conditions. keys is a written table: it is counted, and broadcast if it has few rows."""
+    return docs.join(few(keys), list(on), "left_semi")
+
+
 def without(docs: DataFrame, gone: DataFrame, *on: Column) -> DataFrame:
-    """The rows of docs that match no row of `gone` by all conditions. gone is a written table of keys: it is counted, and broadcast if it has few rows."""
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, list(on), "left_anti")
+    """The rows of docs that match no row of `gone`, in the same way."""
+    return docs.join(few(gone), list(on), "left_anti")
+
 
+def ranked(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """df with what bounded_sample goes by: a hash of id and text, and the text's bytes. Before a join, so that texts needn't be shuffled for them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 1)
+    return df.withColumns({"sample_rank": h, "sample_bytes": F.octet_length(text)})
 
-def bounded_sample(df: DataFrame, rows: int, size: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """All rows, if they are `rows` with `size` bytes of text at most; else those that come first by a hash of id and text, as many as keep both bounds.
+
+def bounded_sample(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """All rows, if they are `rows` with `size` bytes of text at most; else those that come first by ranked()'s hash, as many as keep both bounds.
 
     The same rows on every run and for any partitioning; null and repeated ids count like others. Of equal rows that only fit in part any are as good.
     A text of over a sixteenth of `size` isn't taken then. What reaches the driver are hashes and counts of about twice as many rows as are taken.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    h, b = F.col("sample_rank"), F.col("sample_bytes")
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(b), F.lit(0))).first()
     if n <= rows and total <= size:
-        return df
-    df = df.where(F.octet_length(text) <= size // 16)
-    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 1)
+        return df.drop("sample_rank", "sample_bytes")
+    df = df.where(b <= size // 16)
     share, top = min(1.0, 2 * min(rows / n, size / max(total, 1))), 1 << 63
     while True:
-        low = h if share == 1 else F.when(h < int(share * top), h)
-        by = df.select(low.alias("h"), F.octet_length(text).alias("b")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"))
-        taken, left, cut, part = rows, size, -1, 0
-        for r in sorted(by.collect()):
+        by = df if share == 1 else df.where(h < int(share * top))
+        taken, left, cut, part, full = rows, size, -1, 0, False
+        for r in sorted(by.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(b).alias("b")).collect()):
             fit = min(r.n, taken, left // max(r.b, 1))
-            cut, part = (r.h, 0) if fit == r.n else (r.h, fit)
+            cut, part, full = r.h, fit, fit < r.n
             taken, left = taken - fit, left - fit * r.b
-            if fit < r.n:
+            if full:
                 break
-        else:
-            if share < 1 and taken:
-                share = min(1.0, 4 * share)
-                continue
-            return df.where(h <= cut)
-        return df.where(h < cut).unionByName(df.where(h == cut).limit(int(part))) if part else df.where(h < cut)
+        if full or not taken or share == 1:
+            break
+        share = min(1.0, 4 * share)
+    kept = df.where(h < cut).unionByName(df.where(h == cut).limit(int(part))) if full else df.where(h <= cut)
+    return kept.drop("sample_rank", "sample_bytes")

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, utf8, without
+from tidegauge.llm.common import materialise, materialise_at, parts, scoped, scratch_path, utf8, without
 
 #: Counters of a Misra-Gries summary; k+1 digests at most are broadcast (under 200 KB).
 COUNTERS = 1024
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         sums = [hashlib.sha256(t.lower()).digest() for t in b.column(2).to_pylist()]  # bytes.lower() changes A-Z only
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.binary())], ["id", "raw", "digest"])
 
@@ -95,6 +95,8 @@ def keep_first(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
 
     A row goes by its id and its text together, so of rows that share an id each is judged by its own text.
     """
-    gone = groups(docs, k=k).where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
-    gone = materialise(gone, "gone")
+    path = scratch_path(docs.sparkSession, "gone")
+    with scoped(docs.sparkSession):
+        losers = groups(docs, k=k).where(~F.col("id").eqNullSafe(F.col("keep_id")))
+        gone = materialise_at(losers.select(F.col("id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct(), path)
     return without(docs, gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), F.xxhash64(utf8(docs["text"])) == gone["gone_raw"])

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, materialise
+from tidegauge.llm.common import bounded_sample, materialise, ranked
 
 #: Labelled rows that the model is fitted on at most, and their bytes; words and n-grams that it keeps (the broadcast model is under 30 MB).
 FIT_ROWS, FIT_BYTES, WORDS, GRAMS = 20_000, 512 << 20, 60_000, 60_000
@@ -132,7 +132,7 @@ def fit(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str =
     Entries seen once are left out, and the WORDS and GRAMS commonest over all languages are kept, so rarer words go by their n-grams.
     """
     rows = df.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    words = materialise(_counted(bounded_sample(rows, fit_rows, FIT_BYTES).select("text", "lang"), _words), "words")
+    words = materialise(_counted(bounded_sample(ranked(rows), fit_rows, FIT_BYTES).select("text", "lang"), _words), "words")
     chars = materialise(_counted(words.select("gram", "lang", "n"), _grams), "grams")
     totals = [{r.lang: r.n for r in t.groupBy("lang").agg(F.sum("n").alias("n")).collect()} for t in (words, chars)]
     langs = sorted(totals[0])

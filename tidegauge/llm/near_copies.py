@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, utf8, without
+from tidegauge.llm.common import among, materialise, materialise_at, parts, scoped, scratch_path, utf8, without
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.simhash import hamming_links
 
@@ -104,15 +104,12 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: tuple[int, int] = LIKE, radius: int = 2) -> DataFrame:
     """Links (a, b), a < b, between ids of candidates with a likeness of `like` or more: enough of them to join all that such links reach."""
-    spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for i in range(0, len(ids), 500):
-                who, fp = fingerprints_of([shingles(t, words) for t in b.column(1).slice(i, 500).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + who]), pa.array(fp.view(np.int64))], ["id", "fp"])
+        for b in parts(batches):
+            who, fp = fingerprints_of([shingles(t, words) for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[who]), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     fps = materialise(rows.mapInArrow(prints, "id long, fp long"), "band-fingerprints")
     kinds = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")), "band-classes")
@@ -123,24 +120,21 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialise(fps.join(wanted, "fp").select("cls", "lead", "id").distinct(), "band-members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             cuts = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cuts, np.concatenate([*found, np.zeros(0, np.int64)]))], ["id", "s"])
 
-    sets = rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sets_of, "id long, s array<long>")
+    asked = materialise(members.select(F.col("id").alias("asked")).distinct(), "asked")
+    sets = among(rows, asked, F.col("id") == F.col("asked")).mapInArrow(sets_of, "id long, s array<long>")
     sets = materialise(sets.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")) if _repeats(rows) else sets, "shingles")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = np.array([alike(x, y, like) for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True)], bool)
-            yield _links(b.column(0).to_numpy()[good], b.column(1).to_numpy()[good])
-
     pairs = members.where("id <> lead").select("lead", "id").distinct()
     own, first = sets.select("id", F.col("s").alias("x")), sets.select(F.col("id").alias("lead"), F.col("s").alias("y"))
-    led = pairs.join(own, "id").join(first, "lead")
-    led = led.where(F.least(F.size("x"), F.size("y")) * like[1] >= F.greatest(F.size("x"), F.size("y")) * like[0])
-    star = materialise(led.select("id", "lead", "x", "y").mapInArrow(check, "a long, b long"), "led-links")
+    both, n = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    enough = F.least(F.size("x"), F.size("y")) * like[1] >= F.greatest(F.size("x"), F.size("y")) * like[0]
+    led = pairs.join(own, "id").join(first, "lead").where(enough).where(both * (like[0] + like[1]) >= n * like[0])
+    star = materialise(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), "led-links")
     comp = materialise(connected_components(star), "led-components")
     placed = members.join(comp, members["id"] == comp["node"], "left").select("cls", "id", F.coalesce("component", "id").alias("component"))
     placed = materialise(placed, "led-members")
@@ -157,7 +151,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             x, y = across([h[2].view(np.uint64) for h in held], np.array([h[1] for h in held], np.int64), like)
             return _links(ids[x], ids[y])
 
-        for b in batches:
+        for b in parts(batches):
             cols = [b.column(k).to_pylist() for k in range(5)]
             for *now, i, c, s in zip(*cols, _lists(b.column(5)), strict=True):
                 if now != key and held:
@@ -185,5 +179,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, like: tuple[int, int] = LIKE,
     together. Rows with a null id stay. Texts of equal shingles are copies, so of ties the smallest id stays. Texts of any length are
     compared whole. An empty table gives an empty result.
     """
-    gone = materialise(connected_components(near_links(docs, words=words, like=like, radius=radius)).select("node"), "near-gone")
+    path = scratch_path(docs.sparkSession, "near-gone")
+    with scoped(docs.sparkSession):
+        gone = materialise_at(connected_components(near_links(docs, words=words, like=like, radius=radius)).select("node"), path)
     return without(docs, gone, docs["doc_id"].cast("long") == gone["node"])

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import bounded_sample
+from tidegauge.llm.common import bounded_sample, parts, ranked
 
 #: Labelled rows that the model is fitted on at most, and their bytes; token types with a vector of their own; a vector's length and non-zeros.
 FIT_ROWS, FIT_BYTES, TYPES, DIM, NONZERO = 6000, 48 << 20, 20_000, 64, 6
 #: Hidden units, epochs, tokens on each side that count as around; types that a worker remembers.
-HIDDEN, EPOCHS, AROUND, REMEMBERED = 24, 60, 2, 400_000
+HIDDEN, EPOCHS, AROUND, REMEMBERED = 24, 60, 2, 150_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -144,11 +144,13 @@ def random_index(texts: Encoded) -> tuple[dict[str, int], np.ndarray, np.ndarray
     count = np.bincount(np.concatenate([*texts.texts, np.zeros(0, np.int32)]), minlength=len(types))
     often = np.flatnonzero(count > 2).tolist()
     common = [types[i] for i in sorted(often, key=lambda i: (-count[i], types[i]))[:TYPES]]
-    shapes = [shape(t) for t in types]
-    ids = {t: i for i, t in enumerate([*common, *sorted(set(shapes))])}
+    shapes: dict[str, int] = {}
+    kinds = np.fromiter((shapes.setdefault(shape(t), len(shapes)) for t in types), np.int32, len(types))
+    ids = {t: i for i, t in enumerate([*common, *sorted(shapes)])}
     index = np.stack([*map(index_vector, ids), np.zeros(DIM, np.float32)])
-    of_shape = np.array([ids[s] for s in shapes], np.int32)
-    own = np.array([ids.get(t, s) for t, s in zip(types, of_shape.tolist(), strict=True)], np.int32)
+    of_shape = np.array([ids[s] for s in shapes], np.int32)[kinds]
+    own = np.fromiter((ids.get(t, -1) for t in types), np.int32, len(types))
+    own = np.where(own < 0, of_shape, own)
     out = np.zeros(index.shape)
     for at in _chunks(texts.texts):
         row, also = (np.where(at < 0, len(ids), x[np.maximum(at, 0)]) for x in (own, of_shape))
@@ -165,7 +167,7 @@ def random_index(texts: Encoded) -> tuple[dict[str, int], np.ndarray, np.ndarray
     return ids, (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32), own
 
 
-def _chunks(texts: list[np.ndarray], most: int = 50_000) -> Iterator[np.ndarray]:
+def _chunks(texts: list[np.ndarray], most: int = 20_000) -> Iterator[np.ndarray]:
     """The texts' types with gaps (-1) between texts, in pieces of about `most`; a long text's pieces overlap by no token, so a few pairs at its cuts go uncounted."""
     held: list[np.ndarray] = []
     gap, n = np.full(AROUND, -1, np.int32), 0
@@ -185,10 +187,11 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: st
 
     Null text counts as empty; null and repeated ids are rows like others. Without both labels every score is the share of 1, or 0.5 without rows.
     """
-    rows = df.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+    df = df if "sample_rank" in df.columns else ranked(df, id_col, text_col)
+    rows = df.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), "sample_rank", "sample_bytes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(TOKEN.findall(t)) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], ["id", "tokens", "label"])
 
     got = bounded_sample(rows, fit_rows, FIT_BYTES).mapInArrow(tokens, "id long, tokens string, label int").toArrow()
@@ -227,7 +230,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         pool = Pooler(m.ids, m.vectors)
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(at).to_pylist()
             if m.network and texts:
                 score = m.network.probability(np.stack([pool(t or "") for t in texts]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import lang_id, quality, toxicity
-from tidegauge.llm.common import held_out, read
+from tidegauge.llm.common import held_out, ranked, read
 from tidegauge.llm.exact_dedup import exact_dedup
 from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
@@ -32,7 +32,7 @@ def op1_language_id(spark, sf_dir):
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Fitted on the labelled documents of the training folds."""
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    return quality.fit(docs.select(F.col("doc_id").alias("id"), "text").join(known, "id"))
+    return quality.fit(ranked(docs.select(F.col("doc_id").alias("id"), "text")).join(known, "id"))
 
 
 def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
@@ -47,8 +47,8 @@ def op2_quality(spark, sf_dir):
 def op3_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     known = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
-    train = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text").join(known, "id", "left")
-    model = toxicity.fit(train.select("id", "text", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("positive"), F.col("toxic").isNotNull().alias("known")))
+    train = ranked(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")).join(known, "id", "left")
+    model = toxicity.fit(train.withColumns({"positive": F.coalesce(F.col("toxic") == 1, F.lit(False)), "known": F.col("toxic").isNotNull()}))
     return _verdicts(toxicity.predict(docs, model), 0.3)
 
 
@@ -57,7 +57,7 @@ def op4_packing(spark, sf_dir):
 
 
 def op5_subword_sample(spark, sf_dir):
-    return sample_segmentations(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return sample_segmentations(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, utf8
+from tidegauge.llm.common import materialise, parts, utf8
 from tidegauge.llm.components import connected_components
 
 #: Fingerprints that the shard tree is fitted on: LEAST, or PER_SHARD for each shard, MOST (8 MB) at most; all are dealt by it.
@@ -44,7 +44,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
     """(id, fp): fp is the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import discard, materialise_at, scratch_path, utf8
+from tidegauge.llm.common import discard, materialise_at, parts, scratch_path, utf8
 
 #: Bytes of a block (a symbol), distinct segments of an owner for one task, of a collection, entries of a file read at once.
 BLOCK, HOT, COLLECTION, READ = 16, 40_000, 12_000, 1 << 18
@@ -278,7 +278,7 @@ def repeated_spans(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller(gram)
-        for b in batches:
+        for b in parts(batches):
             for k1, k2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 view = memoryview(t)
                 for owner, s, m, off in segments(t, window, roll):
@@ -297,7 +297,7 @@ def repeated_spans(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["owner", "sig", "n", "kinds", "off", "m", "string"]
-        for b in batches:
+        for b in parts(batches):
             for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cols = [[w[c] for w in want] for c in names[:-1]] + [[t[w["s"] : w["s"] + w["m"] + window - 1] for w in want]]
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
@@ -390,7 +390,7 @@ def repeat_report(df: DataFrame, window: int = 400, id_col: str = "doc_id", text
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 runs = removed_runs(spans, window)
@@ -415,7 +415,7 @@ def drop_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     at = names.index("text")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             cols = b.column(0).flatten()
             cols[at] = pa.array([t if not s else _kept(t.encode(), removed_runs(s, window)).decode("utf-8", "ignore") for t, s in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, materialise
+from tidegauge.llm.common import bounded_sample, materialise, ranked
 from tidegauge.llm.lang_id import words_of
 
 #: Rows that the model is fitted on at most: positives and unlabelled; bytes of text of each.
@@ -112,7 +112,8 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", positive_col:
     Without a positive every score is the prior's floor, near 0. Of more than FIT_POSITIVE and FIT_UNLABELLED rows (or FIT_BYTES) a sample
     of that size is taken by a hash of id and text.
     """
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(positive_col).alias("positive"), F.col(known_col).alias("known"))
+    df = df if "sample_rank" in df.columns else ranked(df, id_col, text_col)
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(positive_col).alias("positive"), F.col(known_col).alias("known"), "sample_rank", "sample_bytes")
     known, toxic = rows.agg(F.count_if("known"), F.count_if("positive")).first()
     prior = min(max(toxic / max(known, 1), 0.005), 0.5)
     unlabelled = bounded_sample(rows, FIT_UNLABELLED, FIT_BYTES).withColumn("positive", F.lit(False))  # the prior is that of all rows, so positives are among them
