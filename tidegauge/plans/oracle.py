@@ -163,7 +163,7 @@ ORACLE_SQL = {
     "eval_auc": _sql(_FULL, "SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM z)"),
     "eval_coverage": _sql("runs g lab", _COVER),
     "eval_uncovered": _sql("runs g lab", f"SELECT split, upper(family) AS family FROM (UNPIVOT (SELECT * EXCLUDE (first_day, last_day, rows) FROM ({_COVER})) ON COLUMNS(* EXCLUDE split) INTO NAME family VALUE n) WHERE n = 0"),
-    "eval_lofo_cutoff": _sql("runs g lab", """, q AS (SELECT * FROM lab WHERE table_name <> 't21'), h AS (SELECT event_family AS family, list_sort(list(DISTINCT table_name)) AS t FROM q WHERE event_family NOT IN ('NONE', 'EXPECTED_EMPTY') GROUP BY ALL)
+    "eval_lofo_cutoff": _sql("runs g lab", """, q AS (SELECT * FROM lab), h AS (SELECT event_family AS family, list_sort(list(DISTINCT table_name)) AS t FROM q WHERE event_family NOT IN ('NONE', 'EXPECTED_EMPTY') GROUP BY ALL)
         SELECT family, array_to_string(t, ',') AS held_out_tables, quantile_cont(day_idx, 0.7) AS cutoff FROM h JOIN q ON NOT list_contains(t, table_name) GROUP BY ALL"""),
     "stream_detectors": _sql("runs f2 f3", _rounded("f3", "ds_z ewma_z cusum_s_pos cusum_s_neg", "ewma_run") + " WHERE table_name IN (SELECT table_name FROM runs GROUP BY table_name HAVING count(*) >= 28)"),
     "audit_trend_drift": f"WITH {_CTE['runs']}, {_F6}" + f""", a AS (SELECT table_name, day_idx, coalesce(roll7_mean, latency_minutes) AS tr, latency_minutes - coalesce(roll7_mean, latency_minutes) AS rs, row_number() OVER ({_TABLE}) AS rn FROM f6 JOIN runs USING (table_name, day_idx)),
