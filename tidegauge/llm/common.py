@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -38,18 +39,48 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return materialise_at(df, scratch_path(df.sparkSession, name))
 
 
+#: Rows of an Arrow batch: whole texts of 10,000 rows, Spark's own choice, are held twice over by an executor's direct memory and its workers.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for what runs inside."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def materialise_at(df: DataFrame, path: str) -> DataFrame:
     """The same at a path of the caller's, who may discard() it later. The shuffle files of the write go when it ends."""
-    spark, drop = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(drop, "false")
-    spark.conf.set(drop, "true")
-    try:
+    spark = df.sparkSession
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_SETTING: str(BATCH)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(drop, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; when a task ends, what its worker has freed goes back to the system, as Spark keeps the worker for later stages."""
+
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return then_release
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, by the file system that holds it."""
     jvm = spark._jvm

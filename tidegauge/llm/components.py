@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import discard, materialise, materialise_at, scratch_path
+from tidegauge.llm.common import discard, materialise, materialise_at, scratch_path, tidy
 
 #: Links that one union-find holds before it emits its forest.
 LOCAL_LINKS = 500_000
@@ -62,7 +62,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b) that isn't the smallest of its component."""
-    edges = materialise(links.where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    edges = materialise(links.where("a <> b").mapInArrow(tidy(_forest), "a long, b long").distinct(), "links")
     last = path = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

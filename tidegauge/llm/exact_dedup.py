@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, materialise_at, parts, scoped, scratch_path, utf8, without
+from tidegauge.llm.common import materialise, materialise_at, parts, scoped, scratch_path, tidy, utf8, without
 
 #: Counters of a Misra-Gries summary; k+1 digests at most are broadcast (under 200 KB).
 COUNTERS = 1024
@@ -31,7 +31,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, raw, digest): a hash of the text as it is, and the SHA-256 of each whole text, A-Z lower-cased; null text counts as empty."""
     text = utf8(F.col(text_col))
-    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(_digest, "id long, raw long, digest binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(tidy(_digest), "id long, raw long, digest binary")
 
 
 class MisraGries:
@@ -56,7 +56,7 @@ def heavy_candidates(df: DataFrame, key: str, rows: int, k: int = COUNTERS) -> D
             mg.add(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(mg.counts), pa.binary()), pa.array(list(mg.counts.values()), pa.int64())], [key, "n"])
 
-    parts = df.select(key).mapInArrow(summarise, f"{key} binary, n long")
+    parts = df.select(key).mapInArrow(tidy(summarise), f"{key} binary, n long")
     return parts.groupBy(key).agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.col("n") * (k + 1) >= rows)).select(key)
 
 

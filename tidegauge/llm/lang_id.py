@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, materialise, ranked
+from tidegauge.llm.common import bounded_sample, materialise, ranked, tidy
 
 #: Labelled rows that the model is fitted on at most, and their bytes; words and n-grams that it keeps (the broadcast model is under 30 MB).
 FIT_ROWS, FIT_BYTES, WORDS, GRAMS = 20_000, 512 << 20, 60_000, 60_000
@@ -111,7 +111,7 @@ def _counted(df: DataFrame, count) -> DataFrame:
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(found.values(), pa.int64())], ["gram", "lang", "n"])
 
-    return df.mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(tidy(run), "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
 def _words(found: Counter, texts: list, langs: list) -> None:
@@ -160,4 +160,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = list(starmap(scorer, ((t or "",) for t in b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

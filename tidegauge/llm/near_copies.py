@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import among, materialise, materialise_at, parts, scoped, scratch_path, utf8, without
+from tidegauge.llm.common import among, materialise, materialise_at, parts, scoped, scratch_path, tidy, utf8, without
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.simhash import hamming_links
 
@@ -111,7 +111,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             who, fp = fingerprints_of([shingles(t, words) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[who]), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    fps = materialise(rows.mapInArrow(prints, "id long, fp long"), "band-fingerprints")
+    fps = materialise(rows.mapInArrow(tidy(prints), "id long, fp long"), "band-fingerprints")
     kinds = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")), "band-classes")
     merged = materialise(connected_components(hamming_links(kinds.select("fp", F.col("fp").alias("rep")), radius)), "band-components")
     named = kinds.join(merged, kinds["fp"] == merged["node"], "left").select("fp", F.coalesce("component", "fp").alias("cls"), "low", "high")
@@ -126,7 +126,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cuts, np.concatenate([*found, np.zeros(0, np.int64)]))], ["id", "s"])
 
     asked = materialise(members.select(F.col("id").alias("asked")).distinct(), "asked")
-    sets = among(rows, asked, F.col("id") == F.col("asked")).mapInArrow(sets_of, "id long, s array<long>")
+    sets = among(rows, asked, F.col("id") == F.col("asked")).mapInArrow(tidy(sets_of), "id long, s array<long>")
     sets = materialise(sets.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")) if _repeats(rows) else sets, "shingles")
 
     pairs = members.where("id <> lead").select("lead", "id").distinct()
@@ -163,7 +163,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out()
 
     blocks = dealt.select("cls", "i", "j", "id", "component", "s").repartition("cls", "i", "j").sortWithinPartitions("cls", "i", "j")
-    rest = materialise(blocks.mapInArrow(search, "a long, b long"), "block-links")
+    rest = materialise(blocks.mapInArrow(tidy(search), "a long, b long"), "block-links")
     return star.unionByName(rest)
 
 

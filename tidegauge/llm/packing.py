@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import tidy
+
 #: Open windows of a task (their ids take 16 KB each at most), and cached words of a worker.
 OPEN, WORDS = 1024, 500_000
 #: A fixed value of the tokenizer's file: its pattern, by which words of characters up to U+024F are split here.
@@ -222,4 +224,4 @@ def pack(df: DataFrame, path: str, size: int = 4096, end: int = 2, id_col: str =
         yield out()
 
     types = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, types)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), types)

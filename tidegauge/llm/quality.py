@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import bounded_sample, parts, ranked
+from tidegauge.llm.common import bounded_sample, parts, ranked, tidy
 
 #: Labelled rows that the model is fitted on at most, and their bytes; token types with a vector of their own; a vector's length and non-zeros.
 FIT_ROWS, FIT_BYTES, TYPES, DIM, NONZERO = 6000, 48 << 20, 20_000, 64, 6
@@ -194,7 +194,7 @@ def fit(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: st
         for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(TOKEN.findall(t)) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], ["id", "tokens", "label"])
 
-    got = bounded_sample(rows, fit_rows, FIT_BYTES).mapInArrow(tokens, "id long, tokens string, label int").toArrow()
+    got = bounded_sample(rows, fit_rows, FIT_BYTES).mapInArrow(tidy(tokens), "id long, tokens string, label int").toArrow()
     got = got.sort_by([("id", "ascending"), ("tokens", "ascending"), ("label", "ascending")])
     y = np.array(got.column("label").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
@@ -238,4 +238,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 score = np.full(len(texts), m.share)
             yield b.append_column(out, pa.array(score, pa.float64()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialise, parts, utf8
+from tidegauge.llm.common import materialise, parts, tidy, utf8
 from tidegauge.llm.components import connected_components
 
 #: Fingerprints that the shard tree is fitted on: LEAST, or PER_SHARD for each shard, MOST (8 MB) at most; all are dealt by it.
@@ -48,7 +48,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text")).mapInArrow(tidy(run), "id long, fp long")
 
 
 class VPTree:
@@ -156,8 +156,8 @@ def hamming_links(classes: DataFrame, radius: int = 2) -> DataFrame:
         if homes:
             yield from Shard(homes).own(radius)
 
-    dealt = classes.select("fp", "rep").mapInArrow(deal, "shard int, guest int, fp long, rep long")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "guest").mapInArrow(search, "a long, b long").distinct()
+    dealt = classes.select("fp", "rep").mapInArrow(tidy(deal), "shard int, guest int, fp long, rep long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "guest").mapInArrow(tidy(search), "a long, b long").distinct()
 
 
 class Shard:

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import tidy
+
 SPACE = "▁"
 #: Weight exponent of the Zipf law, a byte's log weight, and rows (characters of distinct words) that a worker remembers.
 ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 600_000
@@ -407,4 +409,4 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, key_col: str = "d
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     types = "doc_id long, draw int, n_pieces long, log_p double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return df.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, types)
+    return df.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), types)

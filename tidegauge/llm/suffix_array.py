@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import discard, materialise_at, parts, scratch_path, utf8
+from tidegauge.llm.common import discard, materialise_at, parts, scratch_path, tidy, utf8
 
 #: Bytes of a block (a symbol), distinct segments of an owner for one task, of a collection, entries of a file read at once.
 BLOCK, HOT, COLLECTION, READ = 16, 40_000, 12_000, 1 << 18
@@ -288,7 +288,7 @@ def repeated_spans(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
 
     rows = df.where(F.length(text) >= window).select(*_key(id_col, text), text.alias("text"))
     at = {x: scratch_path(spark, x) for x in ("segments", "distinct", "strings", "found")}
-    seg = materialise_at(rows.mapInArrow(cut, "owner long, sig long, k1 long, k2 long, s int, m int, off int"), at["segments"])
+    seg = materialise_at(rows.mapInArrow(tidy(cut), "owner long, sig long, k1 long, k2 long, s int, m int, off int"), at["segments"])
     distinct = seg.groupBy("owner", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "s", "m", "off")).alias("r"))
     distinct = materialise_at(distinct, at["distinct"])
     owners = distinct.groupBy("owner").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
@@ -303,7 +303,7 @@ def repeated_spans(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    strings = rows.join(per_text, ["k1", "k2"]).select("text", "want").mapInArrow(fetch, "owner long, sig long, n long, kinds long, off int, m int, string binary")
+    strings = rows.join(per_text, ["k1", "k2"]).select("text", "want").mapInArrow(tidy(fetch), "owner long, sig long, n long, kinds long, off int, m int, string binary")
     strings = materialise_at(strings, at["strings"])
 
     def construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def repeated_spans(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
 
     spans = "owner long, sig long, spans array<int>"
     cold = strings.where(F.col("kinds") <= HOT).select("owner", "sig", "n", "off", "m", "string")
-    cold = cold.repartition("owner").sortWithinPartitions("owner", "sig").mapInArrow(construct, spans)
+    cold = cold.repartition("owner").sortWithinPartitions("owner", "sig").mapInArrow(tidy(construct), spans)
     hot = _hot_windows(strings.where(F.col("kinds") > HOT), window)
     found = materialise_at(cold.unionByName(hot), at["found"])
     discard(spark, at["strings"])
@@ -348,7 +348,7 @@ def _hot_windows(strings: DataFrame, window: int) -> DataFrame:
                 cols = [one(data).view(np.int64), two(data).view(np.int64), np.full(m, owner), np.full(m, sig), np.full(m, n), np.arange(m, dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "owner", "sig", "n", "at"])
 
-    each = strings.select("owner", "sig", "n", "m", "string").dropDuplicates(["owner", "sig"]).mapInArrow(emit, "w1 long, w2 long, owner long, sig long, n long, at int")
+    each = strings.select("owner", "sig", "n", "m", "string").dropDuplicates(["owner", "sig"]).mapInArrow(tidy(emit), "w1 long, w2 long, owner long, sig long, n long, at int")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
     per = each.join(twice, ["w1", "w2"]).groupBy("owner", "sig").agg(F.array_sort(F.collect_list("at")).alias("at"))
     return per.select("owner", "sig", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("spans"))
@@ -402,7 +402,7 @@ def repeat_report(df: DataFrame, window: int = 400, id_col: str = "doc_id", text
 
     found = _by_row(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")), window, "id", "body")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-    return found.select("row.id", utf8(F.col("row.body")).alias("text"), "spans").mapInArrow(report, schema)
+    return found.select("row.id", utf8(F.col("row.body")).alias("text"), "spans").mapInArrow(tidy(report), schema)
 
 
 def drop_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
@@ -420,5 +420,5 @@ def drop_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
             cols[at] = pa.array([t if not s else _kept(t.encode(), removed_runs(s, window)).decode("utf-8", "ignore") for t, s in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = _by_row(docs, window, "doc_id", "text").mapInArrow(strip, docs.schema)
+    out = _by_row(docs, window, "doc_id", "text").mapInArrow(tidy(strip), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, materialise, ranked
+from tidegauge.llm.common import bounded_sample, materialise, ranked, tidy
 from tidegauge.llm.lang_id import words_of
 
 #: Rows that the model is fitted on at most: positives and unlabelled; bytes of text of each.
@@ -157,12 +157,12 @@ def _screen(sample: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([float(p[k]) for k in keys]), pa.array([float(u[k]) for k in keys])], ["gram", "p", "u"])
 
     sums = (F.sum("p").alias("p"), F.sum("u").alias("u"))
-    by_word = materialise(sample.mapInArrow(words, "word string, p double, u double").groupBy("word").agg(*sums), "words")
+    by_word = materialise(sample.mapInArrow(tidy(words), "word string, p double, u double").groupBy("word").agg(*sums), "words")
     all_p, all_u = by_word.agg(F.sum("p"), F.sum("u")).first()
     if not all_p or not all_u:
         return []
     # words that no positive has can add to a gram's u only; all words count
-    by_gram = by_word.mapInArrow(chars, "gram string, p double, u double").groupBy("gram").agg(*sums).where("p >= 4")
+    by_gram = by_word.mapInArrow(tidy(chars), "gram string, p double, u double").groupBy("gram").agg(*sums).where("p >= 4")
     expected = F.col("u") * (all_p / all_u) + 1
     z = (F.col("p") - expected) / F.sqrt(expected)
     top = by_gram.withColumn("z", F.round(z, 6)).where("z > 2").orderBy(F.desc("z"), "gram").limit(GRAMS)
@@ -190,7 +190,7 @@ def _features(sample: DataFrame, ids: dict[str, int]) -> tuple[np.ndarray, ...]:
             kinds = (pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["positive", "n", "f", "k"])
 
-    got = sample.mapInArrow(run, "positive boolean, n long, f array<int>, k array<int>").toArrow().combine_chunks()
+    got = sample.mapInArrow(tidy(run), "positive boolean, n long, f array<int>, k array<int>").toArrow().combine_chunks()
     sizes = np.array([len(x) for x in got.column("f").to_pylist()], np.int64)
     flat = [(np.concatenate([np.asarray(c.flatten()) for c in got.column(x).chunks]) if len(got) else np.zeros(0, np.int32)) for x in ("f", "k")]
     return np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1].astype(np.float64), np.array(got.column("positive").to_pylist(), bool), np.array(got.column("n").to_pylist(), np.float64)
@@ -210,4 +210,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer(t or "") for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, score double")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, score double")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import few, materialise, scratch_path, utf8
+from tidegauge.llm.common import few, materialise, scratch_path, tidy, utf8
 
 #: Bytes of a range (a task's share), of one read, and of a step in which a candidate is decoded until it shows whether it is a member.
 RANGE, READ, PROBE = 16 << 20, 1 << 20, 4096
@@ -107,7 +107,7 @@ def write_warc(pages: DataFrame, folder: str, locate: Locate = located) -> DataF
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], ["path", "size", "records"])
 
     cols = row.select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
-    return materialise(cols.mapInArrow(write, "path string, size long, records long"), "manifest")
+    return materialise(cols.mapInArrow(tidy(write), "path string, size long, records long"), "manifest")
 
 
 class _Reader:
@@ -241,7 +241,7 @@ def read_warc(manifest: DataFrame, byte_range: int = RANGE, locate: Locate = loc
                     yield out(rows)
 
     tasks = manifest.agg(F.sum(F.ceil(F.col("size") / byte_range))).first()[0]
-    return ranges.repartition(int(min(max(tasks or 1, 1), MOST_TASKS)), "path", "start").mapInArrow(run, schema)
+    return ranges.repartition(int(min(max(tasks or 1, 1), MOST_TASKS)), "path", "start").mapInArrow(tidy(run), schema)
 
 
 def warc_round_trip(pages: DataFrame, byte_range: int = RANGE) -> DataFrame:
