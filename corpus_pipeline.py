@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import exact_dedup, near_copies, packing, quality, suffix_array
-from tidegauge.llm.common import materialise, read
+from tidegauge.llm.common import BATCH, BATCH_SETTING, materialise, read
 from tidegauge.llm.queries import quality_model, tokenizer_path
 
 #: Rows that score less are rejected.
@@ -23,11 +23,17 @@ KEEP_FROM = 0.7
 PASSAGE = 240
 
 
+def _lean(spark: SparkSession) -> None:
+    """Small Arrow batches for what a stage returns, which its caller runs: the session's setting, as it is read then."""
+    spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it is fitted on the training folds of labels, with the texts in docs.
 
     Equal texts score the same, so ties stay or go together, and so do rows with a null id. Without labels of both kinds the share of label 1 decides.
     """
+    _lean(spark)
     model = quality_model(docs, read(spark, sf_dir, "labels"))
     score = "score"
     while score in (c.lower() for c in docs.columns):
@@ -47,11 +53,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of any string of PASSAGE bytes that starts more than once; every document stays, null ids and all."""
+    _lean(spark)
     return suffix_array.drop_repeats(docs, PASSAGE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 4096-token sequences, with ids; a null id is carried along."""
+    _lean(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
