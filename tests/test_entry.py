@@ -23,7 +23,7 @@ def test_imports_without_a_session_and_without_the_optional_subpackage(tmp_path)
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
-@pytest.mark.parametrize("name", ["f1_history", "f3_cusum", "f4_state", "f6_rolling", "f8_upstream", "eval_compare", "eval_auc", "audit_trend_drift"])
+@pytest.mark.parametrize("name", ["f1_history", "f3_cusum", "f4_state", "f6_rolling", "f8_upstream", "feat_matrix", "feat_null_profile", "feat_selection", "feat_medians", "eval_compare", "eval_compare_slice", "eval_auc", "audit_trend_drift"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -40,3 +40,10 @@ def test_only_one_exchange_for_a_tables_own_features(spark):
 
     plan = series_features(simulate.simulate(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(table_name") == plan.count("Exchange") == 1
+
+
+def test_a_comparison_runs_its_rows_once(spark):
+    from tidegauge.plans import queries
+
+    plan = queries.eval_compare(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

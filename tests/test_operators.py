@@ -133,6 +133,8 @@ def test_ece_auc_and_comparison(spark):
     assert abs(got - want) < 1e-12
     rows = [("t", d, "GRADUAL_DRIFT" if d >= 6 else "NONE", d in (3, 7, 8, 9)) for d in range(10)]
     cmp = evaluate.compare_detectors(spark.createDataFrame(rows, "table_name string, day_idx int, event_family string, alert_x boolean"), ["x"], spark.createDataFrame([("GRADUAL_DRIFT", "t", 6)], "event_family string, table_name string, onset int")).first()
+    whole = evaluate.compare_detectors(spark.createDataFrame(rows, "table_name string, day_idx int, event_family string, alert_x boolean"), ["x"]).collect()
+    assert whole == [cmp]
     assert (cmp.row_recall, cmp.median_lag_days, cmp.false_alarms_per_100_normal, cmp.events_detected, cmp.rows) == (0.75, 1.0, 16.67, "1/1", 4)
 
 
@@ -151,6 +153,7 @@ def test_trend_drift(spark):
     assert not audit.trend_drift(trend(spark, spike)).first().drift_detected
     with pytest.raises(Exception, match="shorter"):
         audit.trend_drift(trend(spark, np.zeros(10))).collect()
+    assert audit.trend_drift(trend(spark, np.zeros(10)), strict=False).collect() == [("t", None, None, None)]
     with pytest.raises(KeyError):
         audit.trend_drift(trend(spark, np.zeros(10)).drop("stl_trend"))
 

@@ -73,11 +73,11 @@ def decompose(df: DataFrame) -> DataFrame:
     return df.join(slim.groupBy("table_name").applyInPandas(_decompose, schema), ["table_name", "day_idx"])
 
 
-def trend_drift(df: DataFrame, ref_len: int = 45, z_threshold: float = 5.0, min_run: int = 3) -> DataFrame:
+def trend_drift(df: DataFrame, ref_len: int = 45, z_threshold: float = 5.0, min_run: int = 3, strict: bool = True) -> DataFrame:
     """table_name, drift_detected, first_alert_day, peak_trend_z: is the trend `min_run` times in a row above its reference, and from which day on.
 
     Level is the trend's mean over the first ref_len rows, scale the residual's deviation there. Raises for missing columns and for a table
-    shorter than ref_len + min_run. Works on any trend and residual columns of these names.
+    shorter than ref_len + min_run; unless strict, such a table's row has nulls. Works on any trend and residual columns of these names.
     """
     missing = {"table_name", "day_idx", "stl_trend", "stl_residual"} - set(df.columns)
     if missing:
@@ -88,9 +88,10 @@ def trend_drift(df: DataFrame, ref_len: int = 45, z_threshold: float = 5.0, min_
     sd = F.stddev_samp(F.when(ref, F.col("stl_residual"))).over(whole_table())
     level = F.avg(F.when(ref, F.col("stl_trend"))).over(whole_table())
     n = F.count(F.lit(1)).over(whole_table())
-    short = F.when(n < ref_len + min_run, F.raise_error(F.lit("a series is shorter than the reference window and a run"))).otherwise(F.lit(0))
+    brief = F.raise_error(F.lit("a series is shorter than the reference window and a run")) if strict else F.lit(1)
+    short = F.when(n < ref_len + min_run, brief).otherwise(F.lit(0))
     df = df.withColumns({"__z": (F.col("stl_trend") - level) / F.when(sd > 0, sd).otherwise(1e-9), "__short": short.cast("int")})
     ahead = F.sum((F.col("__z") > z_threshold).cast("int")).over(by_table().rowsBetween(Window.currentRow, min_run - 1))
-    out = df.withColumn("__hit", ahead + F.col("__short") >= min_run).groupBy("table_name")
-    first = F.min(F.when(F.col("__hit"), F.col("day_idx")))
-    return out.agg(first.isNotNull().alias("drift_detected"), first.alias("first_alert_day"), F.round(F.max("__z"), 2).alias("peak_trend_z"))
+    out = df.withColumn("__hit", (ahead >= min_run) & (F.col("__short") == 0)).groupBy("table_name")
+    first, known = F.min(F.when(F.col("__hit"), F.col("day_idx"))), F.max("__short") == 0
+    return out.agg(F.when(known, first.isNotNull()).alias("drift_detected"), first.alias("first_alert_day"), F.when(known, F.round(F.max("__z"), 2)).alias("peak_trend_z"))

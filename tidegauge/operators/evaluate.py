@@ -33,25 +33,30 @@ def detector_alerts(df: DataFrame, ml: str = "severity_ml_only", hybrid: str = "
     return df.withColumns({f"alert_{n}": holds(c) for n, c in found.items()})
 
 
-def compare_detectors(df: DataFrame, detectors: list[str], onsets: DataFrame) -> DataFrame:
+def compare_detectors(df: DataFrame, detectors: list[str], onsets: DataFrame | None = None) -> DataFrame:
     """Per detector (a boolean column alert_<name>) and family: rows, row_recall, events_detected, median_lag_days, false_alarms_per_100_normal.
 
-    A lag counts only for events that began in the slice or whose onset isn't known; it is from the event's onset to the first alert.
+    A lag counts only for events that began in the slice or whose onset isn't known; it is from the event's onset to the first alert. Without
+    `onsets` df is the full history. One aggregation by detector, family and table holds all that is asked, quiet rows too, so df is run once.
     """
     pairs = ", ".join(f"'{d}', alert_{d}" for d in detectors)
     long = df.selectExpr("event_family", "table_name", "day_idx", f"stack({len(detectors)}, {pairs}) AS (detector, alert)")
-    first_day = df.agg(F.min("day_idx")).first()[0]
-    quiet = long.where(normal()).groupBy("detector").agg((100 * F.avg(F.col("alert").cast("int"))).alias("fp"))
-    events = long.where(F.col("event_family").isin(*EVENT_FAMILIES)).groupBy("detector", "event_family", "table_name")
-    events = events.agg(F.count(F.lit(1)).alias("n"), F.count_if("alert").alias("hits"), F.min("day_idx").alias("low"), F.min(F.when(F.col("alert"), F.col("day_idx"))).alias("hit"))
-    events = events.join(onsets, ["event_family", "table_name"], "left").withColumn("onset", F.coalesce("onset", "low"))
-    out = events.groupBy("detector", F.col("event_family").alias("family")).agg(
+    each = long.groupBy("detector", "event_family", "table_name")
+    each = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("alert").alias("hits"), F.min("day_idx").alias("low"), F.min(F.when(F.col("alert"), F.col("day_idx"))).alias("hit"))
+    lag = F.col("hit") - F.col("low")
+    if onsets is not None:
+        first_day = df.agg(F.min("day_idx")).first()[0]
+        each = each.join(onsets, ["event_family", "table_name"], "left").withColumn("onset", F.coalesce("onset", "low"))
+        lag = F.when(F.col("onset") >= F.lit(first_day), F.col("hit") - F.col("onset"))
+    out = each.groupBy("detector", F.col("event_family").alias("family")).agg(
         F.sum("n").alias("rows"),
-        F.round(F.sum("hits") / F.sum("n"), 3).alias("row_recall"),
+        F.sum("hits").alias("__hits"),
         F.concat(F.count_if(F.col("hits") > 0).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")).alias("events_detected"),
-        F.percentile(F.when(F.col("onset") >= F.lit(first_day), F.col("hit") - F.col("onset")), 0.5).alias("median_lag_days"),
+        F.percentile(lag, 0.5).alias("median_lag_days"),
     )
-    return out.join(quiet.select("detector", F.round("fp", 2).alias("false_alarms_per_100_normal")), "detector", "left")
+    quiet = lambda c: F.sum(F.when(F.col("family").isin(*QUIET_FAMILIES), F.col(c))).over(Window.partitionBy("detector"))  # noqa: E731 - a row per family
+    out = out.withColumn("false_alarms_per_100_normal", F.round(100 * (quiet("__hits") / quiet("rows")), 2)).where(F.col("family").isin(*EVENT_FAMILIES))
+    return out.select("detector", "family", "rows", F.round(F.col("__hits") / F.col("rows"), 3).alias("row_recall"), "events_detected", "median_lag_days", "false_alarms_per_100_normal")
 
 
 def confusion(df: DataFrame, true: str = "severity_label", pred: str = "severity_pred") -> DataFrame:
@@ -151,6 +156,6 @@ def full_report(df: DataFrame, onsets: DataFrame | None = None) -> dict[str, Dat
         "alerts": alert_quality(d),
         "auc": auc(d, "__y", "anomaly_prob"),
         "ece": calibration_error(d, "__y", "anomaly_prob"),
-        "detection": compare_detectors(d, ["cascade_ml"], onsets if onsets is not None else event_onsets(d)),
+        "detection": compare_detectors(d, ["cascade_ml"], onsets),
         "per_class": per_class(d),
     }

@@ -141,10 +141,6 @@ ORACLE_SQL = {
     "lbl_severity": _sql("runs g lab", "SELECT table_name, day_idx, severity_label, (['NORMAL', 'WATCH', 'WARN', 'DEGRADED', 'CRITICAL'])[severity_label + 1] AS severity_name FROM lab"),
     "det_floor": _sql(_FULL, "SELECT table_name, day_idx, CAST(greatest(CASE WHEN diag_state_code IN (1, 4, 5, 6) THEN 3 ELSE 0 END, CASE WHEN ewma_alert > 0 OR (was_retried > 0 AND latency_zscore > 3) THEN 2 ELSE 0 END) AS INTEGER) AS floor FROM z"),
     "det_alerts": _sql(_FULL, "SELECT table_name, day_idx, alert_rule_baseline, alert_ewma, alert_cusum, alert_state_machine FROM z"),
-    "feat_null_profile": f"WITH {_CTE['runs']}, {_CTE['f1']}, {_CTE['f2']}, {_CTE['f3']}, {_CTE['f7']}, {_F6}, {_ENTROPY}" + """ SELECT feature, count(v) AS n, round(count(v) / count(*), 6) AS share FROM (
-        SELECT 'latency_zscore' AS feature, latency_zscore AS v FROM f1 UNION ALL SELECT 'latency_pct_rank', latency_pct_rank FROM f1 UNION ALL SELECT 'ds_z', ds_z FROM f3 UNION ALL SELECT 'ewma_z', ewma_z FROM f3
-        UNION ALL SELECT 'roll7_iqr', roll7_iqr FROM f6 UNION ALL SELECT 'roll7_entropy', CASE WHEN n >= 7 THEN 1.0 END FROM h UNION ALL SELECT 'rows_zscore', rows_zscore FROM f7) GROUP BY ALL""",
-    "feat_medians": _sql(_FULL, "SELECT " + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS {c}" for c in ("latency_zscore", "ds_z", "ewma_z", "rows_zscore")) + " FROM z WHERE day_idx <= 125"),
     "eval_onsets": _sql("runs g lab", "SELECT event_family, table_name, min(day_idx) AS onset FROM lab WHERE event_family NOT IN ('NONE', 'EXPECTED_EMPTY') GROUP BY ALL"),
     "eval_compare": _COMPARE + "SELECT * FROM cmp",
     "eval_compare_slice": f"WITH RECURSIVE {', '.join(_CTE[p] for p in _FULL)}, {_compare('WHERE day_idx > 152')} SELECT * FROM cmp",
@@ -167,7 +163,25 @@ ORACLE_SQL = {
         SELECT family, array_to_string(t, ',') AS held_out_tables, quantile_cont(day_idx, 0.7) AS cutoff FROM h JOIN q ON NOT list_contains(t, table_name) GROUP BY ALL"""),
     "stream_detectors": _sql("runs f2 f3", _rounded("f3", "ds_z ewma_z cusum_s_pos cusum_s_neg", "ewma_run") + " WHERE table_name IN (SELECT table_name FROM runs GROUP BY table_name HAVING count(*) >= 28)"),
     "audit_trend_drift": f"WITH {_CTE['runs']}, {_F6}" + f""", a AS (SELECT table_name, day_idx, coalesce(roll7_mean, latency_minutes) AS tr, latency_minutes - coalesce(roll7_mean, latency_minutes) AS rs, row_number() OVER ({_TABLE}) AS rn FROM f6 JOIN runs USING (table_name, day_idx)),
-        rf AS (SELECT table_name, avg(tr) AS lv, stddev_samp(rs) AS sd FROM a WHERE rn <= 20 GROUP BY ALL), zz AS (SELECT a.*, (tr - lv) / (CASE WHEN sd > 0 THEN sd ELSE 1e-9 END) AS z FROM a JOIN rf USING (table_name)),
-        hh AS (SELECT *, sum(CAST(z > 1 AS INTEGER)) OVER ({_TABLE} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) >= 3 AS hit FROM zz)
-        SELECT table_name, count(*) FILTER (hit) > 0 AS drift_detected, min(day_idx) FILTER (hit) AS first_alert_day, round(max(z), 2) AS peak_trend_z FROM hh GROUP BY table_name HAVING count(*) >= 23""",
+        rf AS (SELECT table_name, avg(tr) AS lv, stddev_samp(rs) AS sd FROM a WHERE rn <= 45 GROUP BY ALL), zz AS (SELECT a.*, (tr - lv) / (CASE WHEN sd > 0 THEN sd ELSE 1e-9 END) AS z FROM a JOIN rf USING (table_name)),
+        hh AS (SELECT *, sum(CAST(z > 5 AS INTEGER)) OVER ({_TABLE} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) >= 3 AND count(*) OVER (PARTITION BY table_name) >= 48 AS hit FROM zz)
+        SELECT table_name, CASE WHEN count(*) >= 48 THEN count(*) FILTER (hit) > 0 END AS drift_detected, min(day_idx) FILTER (hit) AS first_alert_day, CASE WHEN count(*) >= 48 THEN round(max(z), 2) END AS peak_trend_z FROM hh GROUP BY table_name""",
 }
+
+#: The matrix is its families' queries side by side; its numeric features.
+_FAMILIES = ("src_runs", "f2_baseline", "f1_history", "f1_zscore", "f1_pct_rank", "f3_ewma", "f3_cusum", "f6_rolling", "f6_entropy", "f7_volume", "f4_state", "f8_upstream", "lbl_rule_severity", "lbl_family", "lbl_severity")
+_MATRIX = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[q]}) {q}" + " USING (table_name, day_idx)" * (i > 0) for i, q in enumerate(_FAMILIES)) + f" JOIN ({ORACLE_SQL['f5_graph']}) f5_graph USING (table_name)"
+_FEATURES = (
+    "day_of_week", "is_weekend", "hist_mean_21d", "hist_std_21d", "hist_p90_21d", "latency_zscore", "latency_pct_rank", "lat_ds", "ref_mu", "ref_sd", "ds_z", "ewma_z", "ewma_run", "ewma_alert", "cusum_s_pos", "cusum_s_neg",
+    "cusum_alert_up", "cusum_alert_dn", "cusum_drift_score", "diag_state_code", "diag_exec_ok", "diag_read_ok", "diag_write_ok", "row_write_ratio", "was_retried", "dag_criticality", "dag_centrality", "dag_in_degree", "dag_out_degree",
+    "dag_depth", "dag_blast_radius", "dag_ancestry_count", "roll7_mean", "roll7_std", "roll7_iqr", "roll7_kurtosis", "roll7_entropy", "latency_velocity", "latency_acceleration", "rows_roll7_mean", "rows_roll7_std", "rows_zscore",
+    "rows_pct_drop", "upstream_failed_count", "upstream_alert_count",
+)
+_EACH = lambda agg: f"unnest([{', '.join(agg.format(c) for c in _FEATURES)}])"
+_COUNTS = f"SELECT {_EACH(chr(39) + '{}' + chr(39))} AS feature, {_EACH('count({})')} AS n, count(*) AS total, {_EACH('CAST(quantile_cont({}, 0.5) FILTER (day_idx <= 125) AS DOUBLE)')} AS median FROM ({_MATRIX})"
+ORACLE_SQL |= {
+    "feat_matrix": _MATRIX,
+    "feat_null_profile": f"SELECT feature, n, round(n / total, 6) AS share FROM ({_COUNTS})",
+    "feat_selection": f"SELECT feature FROM ({_COUNTS}) WHERE n > 0.3 * total",
+    "feat_medians": f"SELECT feature, round(median, 4) AS median FROM ({_COUNTS}) WHERE n > 0.3 * total",
+}

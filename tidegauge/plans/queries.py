@@ -149,10 +149,12 @@ def det_alerts(spark, d):
 
 
 def feat_null_profile(spark, d):
-    cols = ["latency_zscore", "latency_pct_rank", "ds_z", "ewma_z", "roll7_iqr", "roll7_entropy", "rows_zscore"]
-    df = feature_matrix.series_features(_runs(spark, d))
+    """Every numeric feature: how many rows have it, and their share."""
+    df = matrix(spark, d)
+    cols = feature_matrix.numeric_features(df)
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(c) for c in cols))
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return df.selectExpr(f"stack({len(cols)}, {pairs}) AS (feature, v)").groupBy("feature").agg(F.count("v").alias("n"), F.round(F.count("v") / F.count(F.lit(1)), DIGITS).alias("share"))
+    return counts.selectExpr("rows", f"stack({len(cols)}, {pairs}) AS (feature, n)").select("feature", "n", F.round(F.col("n") / F.col("rows"), DIGITS).alias("share"))
 
 
 def feat_selection(spark, d):
@@ -160,15 +162,18 @@ def feat_selection(spark, d):
 
 
 def feat_medians(spark, d):
-    cols = ["latency_zscore", "ds_z", "ewma_z", "rows_zscore"]
-    train = labelled(spark, d).where(F.col("day_idx") <= protocols.TRAIN_END)
-    return train.agg(*(F.round(F.percentile(c, 0.5), DIGITS).alias(c) for c in cols))
+    """The training rows' median of every selected feature."""
+    df = matrix(spark, d)
+    found = feature_matrix.medians(df.where(F.col("day_idx") <= protocols.TRAIN_END), feature_matrix.select_features(df))
+    rows = spark.createDataFrame([(c, None if v is None else float(v)) for c, v in found.items()], "feature string, median double")
+    return rows.select("feature", F.round("median", 4).alias("median"))
 
 
 def feat_matrix(spark, d):
-    """All columns of the matrix in one plan; numbers are rounded."""
+    """All columns of the matrix; numbers are rounded, the baseline's as in f2_baseline."""
     df = matrix(spark, d)
-    return _round(df, [c for c in df.columns if c not in KEYS])
+    digits = dict.fromkeys(("lat_ds", "ds_z", "ref_mu", "ref_sd"), 8)
+    return df.select(*KEYS, *(F.round(c, digits.get(c, DIGITS)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in KEYS))
 
 
 def eval_onsets(spark, d):
@@ -176,8 +181,7 @@ def eval_onsets(spark, d):
 
 
 def _compared(spark, d):
-    df = labelled(spark, d)
-    return evaluate.compare_detectors(df, DETECTORS, evaluate.event_onsets(df))
+    return evaluate.compare_detectors(labelled(spark, d), DETECTORS)
 
 
 def eval_compare(spark, d):
@@ -246,11 +250,9 @@ def eval_lofo_cutoff(spark, d):
 
 
 def audit_trend_drift(spark, d):
-    """Trend drift of latencies against their own rolling mean; the test is the same for any trend and residual."""
+    """Trend drift of latencies against their own rolling mean; the test is the same for any trend and residual. Tables too short for it have nulls."""
     df = features.rolling(_runs(spark, d)).select(*KEYS, F.coalesce("roll7_mean", "latency_minutes").alias("stl_trend"), "latency_minutes")
-    df = df.withColumn("stl_residual", F.col("latency_minutes") - F.col("stl_trend"))
-    enough = df.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).where("n >= 23").select("table_name")
-    return audit.trend_drift(df.join(enough, "table_name", "left_semi"), 20, 1.0, 3)
+    return audit.trend_drift(df.withColumn("stl_residual", F.col("latency_minutes") - F.col("stl_trend")), strict=False)
 
 
 def audit_stl(spark, d):
