@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.functions import windows
 from tidegauge.operators import audit, evaluate, features, labels
 from tidegauge.operators.boost import Booster, Isotonic
 from tidegauge.operators.cascade import Cascade, Stage2
@@ -85,6 +86,20 @@ def test_drift_detectors_equal_the_recurrences(spark):
         np.testing.assert_allclose(got.iloc[i], (ewma[i], run, up, dn), atol=1e-9)
 
 
+def test_exponential_mean_equals_its_recurrence(spark):
+    v = [None, None, *np.random.default_rng(3).normal(2, 50, 700).tolist()]
+    v[70:75] = [None] * 5
+    df = spark.createDataFrame([(t, i, x) for t in "ab" for i, x in enumerate(v if t == "a" else v[::-1])], "table_name string, day_idx int, v double").repartition(4)
+    for alpha in (2 / 11, 0.5, 0.02, 0.999):
+        got = ordered(windows.exponential_mean(df, F.col("v"), alpha, "e"), "e").e.tolist()
+        for t, values in enumerate((v, v[::-1])):
+            mean = None
+            for i, x in enumerate(values):
+                mean = mean if x is None else x if mean is None else mean * (1 - alpha) + x * alpha
+                e = got[t * len(v) + i]
+                assert (mean is None and np.isnan(e)) or abs(e - mean) < 1e-10
+
+
 def test_spike_ramp_and_outage(spark):
     spike = np.zeros(120)
     spike[70] = 200

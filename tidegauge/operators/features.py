@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions import windows as w
 from tidegauge.schema import CRITICALITY, STATES
 
-#: Rows of the reference window; elements that the exponential mean looks back on (the rest weighs under 1e-17).
-REFERENCE, LOOKBACK = 28, 200
+#: Rows of the reference window.
+REFERENCE = 28
 
 
 def temporal(df: DataFrame) -> DataFrame:
@@ -51,13 +51,11 @@ def baseline(df: DataFrame, reference: int = REFERENCE) -> DataFrame:
 def drift(df: DataFrame, span: int = 10, limit: float = 3.0, run: int = 3, k: float = 1.0, h: float = 5.0, most: float = 3.0) -> DataFrame:
     """EWMA chart and two-sided CUSUM of ds_z."""
     z = F.col("ds_z")
-    frame = w.by_table().rowsBetween(-LOOKBACK, 0)
     upto = w.by_table().rowsBetween(Window.unboundedPreceding, 0)
     zc = w.clip(z, -most, most)
-    df = df.withColumns({"__rn": F.row_number().over(w.by_table()), "__z": F.collect_list(w.clip(z, -4.0, 4.0)).over(frame)})
+    df = w.exponential_mean(df, w.clip(z, -4.0, 4.0), 2.0 / (span + 1), "ewma_z").withColumn("__rn", F.row_number().over(w.by_table()))
     step = lambda sign: F.when(F.col("__rn") > 1, sign * zc - k).otherwise(0.0)
     df = df.withColumns({
-        "ewma_z": w.exponential_mean(F.col("__z"), 2.0 / (span + 1)),
         "__up": w.reflected_sum(step(1)),
         "__down": w.reflected_sum(step(-1)),
     })
@@ -71,7 +69,7 @@ def drift(df: DataFrame, span: int = 10, limit: float = 3.0, run: int = 3, k: fl
         "cusum_alert_up": (F.col("cusum_s_pos") > h).cast("int"),
         "cusum_alert_dn": (F.col("cusum_s_neg") > h).cast("int"),
         "cusum_drift_score": w.clip(F.col("cusum_s_pos") / h, 0.0, 5.0),
-    }).drop("__rn", "__z", "__up", "__down")
+    }).drop("__rn", "__up", "__down")
 
 
 def state_of(execution_status: Column, rows_read: Column, rows_written: Column, read_floor: Column | int = 10, write_floor: Column | int = 10) -> dict[str, Column]:
