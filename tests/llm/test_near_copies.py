@@ -90,6 +90,63 @@ def test_a_hot_loose_group_is_searched_block_by_block(spark, monkeypatch, block)
     assert found(spark, rows) == want
 
 
+def loose_family(n=150, words=300):
+    """A base and copies of it with 1 to 8 edits: few are alike to the smallest id, most are to others; the last ones are alike to none."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"b{x}" for x in range(words)], []
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(words // 6, 9 if k == 0 else 20 if k > n - 20 else int(rng.integers(1, 8)), replace=False):
+            text[6 * at] = f"e{k}x{at}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_links_of_a_hot_group_grow_with_its_texts_not_with_its_pairs(spark, monkeypatch):
+    """Before, all pairs across the components that the smallest id left were listed, and every text went to each block."""
+    monkeypatch.setattr(nc, "BLOCK", 16)
+    dealt, deal = [], nc._dealt
+    monkeypatch.setattr(nc, "_dealt", lambda placed: dealt.append(deal(placed)) or dealt[-1])
+    rows = loose_family()
+    want = brute(rows)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(4)
+    links = [(r.a, r.b) for r in nc.near_links(df).collect()]
+    sets = {i: grams(t) for i, t in rows}
+    assert all(a < b and likeness(sets[a], sets[b]) >= 0.8 for a, b in links)
+    assert len(links) <= len(rows) * nc.BANDS and 100 < sum(want[i] != i for i in want)
+    assert dealt[0].count() <= 2 * len(rows) * nc.BANDS
+    assert found(spark, rows) == want
+
+
+def test_blocks_let_all_pairs_of_different_components_meet(spark, monkeypatch):
+    monkeypatch.setattr(nc, "BLOCK", 5)
+    rng = np.random.default_rng(7)
+    placed = [(c, i, i if rng.random() < share else 10**6 * c, 10**6 * c) for c, n, share in ((1, 40, 0.2), (2, 40, 1.0), (3, 4, 0.5), (4, 23, 0.7)) for i in range(n)]
+    met = {}
+    for r in nc._dealt(spark.createDataFrame(placed, "cls long, id long, component long, main long")).collect():
+        met.setdefault((r.cls, r.i, r.j), []).append(r.id)
+    pairs = {(c, *sorted((a, b))) for (c, *_), ids in met.items() for a in ids for b in ids if a != b}
+    assert all((c, min(a, b), max(a, b)) in pairs for c, a, x, _ in placed for d, b, y, _ in placed if c == d and x != y)
+
+
+def test_bridges_join_what_all_links_join():
+    rng = np.random.default_rng(8)
+    component = rng.integers(100, 130, 60)
+    x, y = rng.integers(0, 60, (2, 400))
+    some = nc.bridges(component, x, y)
+    join = lambda at: brute_join(component, x[at], y[at])
+    assert len(some) < 30 and join(some) == join(np.arange(400))
+    assert nc.bridges(component, x[:0], y[:0]) == []
+
+
+def brute_join(component, x, y):
+    top = {c: {c} for c in component.tolist()}
+    for a, b in zip(component[x].tolist(), component[y].tolist(), strict=True):
+        whole = top[a] | top[b]
+        top |= dict.fromkeys(whole, whole)
+    return {frozenset(v) for v in top.values()}
+
+
 def test_across_is_all_alike_pairs_of_different_components(monkeypatch):
     monkeypatch.setattr(nc, "COLUMNS", 16)
     rng = np.random.default_rng(5)

@@ -4,9 +4,12 @@
    hashes of a range is one fingerprint. Two texts of likeness s agree in a range's sample with a probability of about s^ROWS: at 0.8 one of
    eight ranges does in 98 of 100 cases, at 0.2 in 1 of 100. A single fingerprint of the whole text would need a radius at which no tree prunes.
 2. All fingerprints go through the vantage-point trees of `simhash`; those within the radius form a class, whose texts are candidates.
-3. In each class every text is checked against the smallest id by the exact Jaccard likeness, a number of pairs that is linear in the candidates.
-   Only classes whose texts are then still in several components are searched on, block by block in matrix products, and only across
-   components, so no link between candidates is lost and no group is listed as pairs.
+3. A shingle that no other candidate has can't be in what two texts share. It bounds a text's likeness to any other: texts that can't reach it are done,
+   and the text of a class with the least share of such shingles, its centre, is alike to most that are alike to any.
+4. In each class every text that is left is checked against the centre by the exact Jaccard likeness, a number of pairs that is linear in the candidates.
+   Only classes whose texts are then still in several components are searched on, block by block in matrix products: the texts that
+   aren't in the centre's component meet all others. A block gives links that join its components, fewer than it has texts. So no link
+   between components of candidates is lost and no group is listed as pairs.
 """
 
 from __future__ import annotations
@@ -93,6 +96,25 @@ def across(sets: list[np.ndarray], component: np.ndarray, like: tuple[int, int]
     return np.nonzero(np.triu(good, 1))
 
 
+def bridges(component: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x and y of links that join the components as all of them do, fewer than there are components."""
+    kinds, number = np.unique(component, return_inverse=True)
+    top = list(range(len(kinds)))
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    kept = []
+    for at, (a, b) in enumerate(zip(number[x].tolist(), number[y].tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            kept.append(at)
+    return kept
+
+
 def _lists(column: pa.Array) -> list[np.ndarray]:
     flat, cuts = column.flatten().to_numpy(), column.offsets.to_numpy()
     return [flat[a:b] for a, b in zip((cuts - cuts[0])[:-1].tolist(), (cuts - cuts[0])[1:].tolist(), strict=True)]
@@ -115,9 +137,9 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")), "band-classes")
     merged = materialise(connected_components(hamming_links(kinds.select("fp", F.col("fp").alias("rep")), radius)), "band-components")
     named = kinds.join(merged, kinds["fp"] == merged["node"], "left").select("fp", F.coalesce("component", "fp").alias("cls"), "low", "high")
-    spread = named.groupBy("cls").agg(F.min("low").alias("lead"), F.max("high").alias("high")).where("lead < high").select("cls", "lead")
+    spread = named.groupBy("cls").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("cls")
     wanted = named.select("fp", "cls").join(spread, "cls")
-    members = materialise(fps.join(wanted, "fp").select("cls", "lead", "id").distinct(), "band-members")
+    members = materialise(fps.join(wanted, "fp").select("cls", "id").distinct(), "band-members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -129,27 +151,27 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = among(rows, asked, F.col("id") == F.col("asked")).mapInArrow(tidy(sets_of), "id long, s array<long>")
     sets = materialise(sets.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")) if _repeats(rows) else sets, "shingles")
 
-    pairs = members.where("id <> lead").select("lead", "id").distinct()
+    able = materialise(_able(members, sets, like), "able-members")
+    pairs = able.where("id <> lead").select("lead", "id").distinct()
     own, first = sets.select("id", F.col("s").alias("x")), sets.select(F.col("id").alias("lead"), F.col("s").alias("y"))
     both, n = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     enough = F.least(F.size("x"), F.size("y")) * like[1] >= F.greatest(F.size("x"), F.size("y")) * like[0]
     led = pairs.join(own, "id").join(first, "lead").where(enough).where(both * (like[0] + like[1]) >= n * like[0])
-    star = materialise(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), "led-links")
+    star = materialise(led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")), "led-links")
     comp = materialise(connected_components(star), "led-components")
-    placed = members.join(comp, members["id"] == comp["node"], "left").select("cls", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialise(placed, "led-members")
-    open_ = placed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = placed.join(open_, "cls").withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cls", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "id", "component").join(sets, "id")
+    main = comp.select(F.col("node").alias("head"), F.col("component").alias("main"))
+    placed = able.join(comp, able["id"] == comp["node"], "left").join(main, able["lead"] == main["head"], "left")
+    placed = placed.select("cls", "id", F.coalesce("component", "id").alias("component"), F.coalesce("main", "lead").alias("main"))
+    dealt = _dealt(materialise(placed, "led-members")).join(sets, "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out() -> pa.RecordBatch:
-            ids = np.array([h[0] for h in held], np.int64)
-            x, y = across([h[2].view(np.uint64) for h in held], np.array([h[1] for h in held], np.int64), like)
-            return _links(ids[x], ids[y])
+            ids, component = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+            x, y = across([h[2].view(np.uint64) for h in held], component, like)
+            some = bridges(component, x, y)
+            return _links(ids[x[some]], ids[y[some]])
 
         for b in parts(batches):
             cols = [b.column(k).to_pylist() for k in range(5)]
@@ -167,6 +189,32 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return star.unionByName(rest)
 
 
+def _able(members: DataFrame, sets: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """(cls, id, lead): each class's centre, and the texts whose shingles that other candidates have are enough to be alike to a text of its smallest size."""
+    lone = sets.select("id", F.explode("s").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id = high")
+    lone = lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    core = sets.select("id", F.size("s").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    seen = members.join(materialise(core, "shared"), "id")
+    centre = F.min(F.struct((-F.col("shared") / F.greatest("n", F.lit(1))).alias("by"), "id"))
+    head = seen.groupBy("cls").agg(centre.alias("c"), F.min("n").alias("least")).select("cls", F.col("c.id").alias("lead"), "least")
+    return seen.join(head, "cls").where(F.col("shared") * (like[0] + like[1]) >= (F.col("n") + F.col("least")) * like[0]).select("cls", "id", "lead")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(cls, i, j, id, component): the blocks of classes with several components. What isn't in the main one meets all texts; the main one's don't meet each other."""
+    rest = F.col("component") != F.col("main")
+    sizes = placed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(rest).alias("r"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    one = F.col("n") <= BLOCK  # all in one block
+    blocks = [F.when(one, alone).otherwise(F.ceil(n / BLOCK)).cast("int") for n, alone in ((F.col("r"), 1), (F.col("n") - F.col("r"), 0))]
+    some = placed.join(sizes.select("cls", one.alias("one"), blocks[0].alias("high"), blocks[1].alias("more")), "cls")
+    outer = F.col("one") | rest
+    h = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1)))
+    spot = F.when(outer, h(F.col("high"))).otherwise(F.col("high") + h(F.col("more"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(outer, F.col("high") + F.col("more")).otherwise(F.col("high")) - 1))
+    some = some.withColumn("spot", spot).withColumn("other", other).where("spot <> other or high + more = 1")
+    return some.select("cls", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "id", "component")
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether an id is on several rows; such rows are one text."""
     return rows.groupBy("id").count().where("count > 1").limit(1).count() > 0
