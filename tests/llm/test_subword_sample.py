@@ -151,3 +151,24 @@ def test_queries_edge_cases(spark):
     assert ss.sample_segmentations(df.where("false"), PATH).collect() == []
     again = ss.sample_segmentations(df.repartition(5), PATH, 2).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_words_that_come_again_are_remembered_and_draws_do_not_depend_on_it(sampler, monkeypatch):
+    """Before, a full table forgot every word, so the same words were made over and over."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 8))
+    often = [word() for _ in range(20)]
+    batches = [[" ".join([*often, *(word() for _ in range(40))])] for _ in range(12)]
+    draw = lambda b: [(ids.tolist(), *rest) for ids, *rest in sampler.sample_batch(b, 3, [7])[0]]
+    want = []
+    for b in batches:
+        sampler.lattices.reset()
+        want.append(draw(b))
+    made, add = [], sampler.lattices.add
+    monkeypatch.setattr(ss, "REMEMBERED", 1200)
+    monkeypatch.setattr(sampler.lattices, "add", lambda words: made.extend(words) or add(words))
+    sampler.lattices.reset()
+    got = [draw(b) for b in batches]
+    assert got == want
+    assert len(made) == len(set(made)) and sampler.lattices.rows <= 1200
+    sampler.lattices.reset()

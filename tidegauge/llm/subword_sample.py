@@ -30,7 +30,7 @@ from tidegauge.llm.common import tidy
 
 SPACE = "▁"
 #: Weight exponent of the Zipf law, a byte's log weight, and rows (characters of distinct words) that a worker remembers.
-ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 600_000
+ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 1_200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: The finer cut, for models in which no piece has both letters and other characters than the leading spaces.
@@ -81,12 +81,28 @@ class Lattices:
         self.hashes = hashes[order]
         self.seen = np.zeros(1 << 20, bool)  # by the upper bits of a hash: most substrings are no piece
         self.seen[self.hashes >> np.uint64(44)] = True
+        self.first = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(self.hashes)).max())
         self.ids = np.array([i for i, _ in pieces.values()], np.int32)[order]
         self.weights = np.array([w for _, w in pieces.values()], np.float64)[order]
         self.reset()
 
+    def forget(self) -> None:
+        """Make room: words that no later batch had again go, or all, if the others take over half of it."""
+        kept = sorted((self.at[w], w) for w in self.again)
+        sizes = np.array([len(w) for _, w in kept], np.int64)
+        stops = np.cumsum(sizes)
+        if not kept or stops[-1] > REMEMBERED // 2 or len(self.share) > REMEMBERED + (1 << 16):
+            return self.reset()
+        old = np.repeat(np.array([at for at, _ in kept], np.int64) - (stops - sizes), sizes) + np.arange(stops[-1])
+        for i in range(0, len(old), 1 << 16):  # rows only move up, so none is overwritten before it is read
+            for x in (self.share, self.log, self.piece):
+                x[i : i + (1 << 16)][: len(old) - i] = x.take(old[i : i + (1 << 16)], axis=0)
+        self.at, self.again, self.rows = dict(zip((w for _, w in kept), (stops - sizes).tolist(), strict=True)), set(), int(stops[-1])
+
     def reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.again: set[str] = set()
         self.rows = 0
         most = REMEMBERED + (1 << 16)
         self.share, self.log, self.piece = np.empty((most, self.width)), np.empty((most, self.width)), np.empty((most, self.width), np.int32)
@@ -95,7 +111,7 @@ class Lattices:
     def _hash(text: str) -> int:
         h = 0
         for c in text:
-            h = (h * int(_STEP) + ord(c) + 1) & (1 << 64) - 1
+            h = (h + ord(c) + 1) * int(_STEP) & (1 << 64) - 1
         return h
 
     def _room(self, rows: int) -> None:
@@ -120,10 +136,12 @@ class Lattices:
         weight, piece, share = np.full((m, n, width), -np.inf), np.full((m, n, width), -1, np.int32), np.full((m, n, width), 2.0)
         h = np.zeros((m, n), np.uint64)
         for c in range(width):
-            h = h[:, : n - c] * _STEP + code[:, c:]
+            h = (h[:, : n - c] + code[:, c:]) * _STEP
             word, place = np.nonzero(self.seen[h >> np.uint64(44)])
             some = h[word, place]
-            spot = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+            spot = self.first[some >> np.uint64(44)]
+            for _ in range(self.most - 1):
+                spot = np.minimum(spot + (self.hashes[spot] < some), len(self.hashes) - 1)
             known = self.hashes[spot] == some
             word, place, spot = word[known], place[known], spot[known]
             weight[word, place, c] = self.weights[spot]
@@ -164,7 +182,7 @@ class Lattices:
         seed = self.turn(seed, draw)
         while len(live):
             spot = at[live]
-            c = np.argmax(self.share[spot] > uniform(seed[live], spot - row[live])[:, None], axis=1)
+            c = np.argmax(self.share.take(spot, axis=0) > uniform(seed[live], spot - row[live])[:, None], axis=1)
             steps.append((live, spot, c))
             log[live] += self.log[spot, c]
             at[live] = spot + c + 1
@@ -298,10 +316,12 @@ class Sampler:
     def sample_batch(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct (ids, log p, perturbed log p, inclusion score), best first; fewer only if it has fewer paths."""
         words = [self.units(t) for t in texts]
-        new = set().union(*words).difference(self.lattices.at)
+        met = set().union(*words)
+        new = met.difference(self.lattices.at)
         if self.lattices.rows + sum(map(len, new)) > REMEMBERED:
-            self.lattices.reset()
-            new = set().union(*words)
+            self.lattices.forget()
+            new = met.difference(self.lattices.at)
+        self.lattices.again |= met - new
         self.lattices.add(sorted(new))
         flat = [w for ws in words for w in ws]
         row = np.fromiter(map(self.lattices.at.__getitem__, flat), np.int64, len(flat))
