@@ -172,3 +172,36 @@ def test_words_that_come_again_are_remembered_and_draws_do_not_depend_on_it(samp
     assert got == want
     assert len(made) == len(set(made)) and sampler.lattices.rows <= 1200
     sampler.lattices.reset()
+
+
+def test_a_remembered_character_takes_little_room(sampler):
+    """Before, each character had a row as wide as the longest piece, 320 bytes, though two pieces start there on average."""
+    table = sampler.lattices
+    table.reset()
+    sampler.sample_batch(["international segmentations of quite ordinary words, drawn twice"], 2, [1])
+    bytes_of = lambda names: sum(np.dtype(kind).itemsize for _, kind in names)
+    assert table.rows > 50 and table.rows * bytes_of(table.BY_ROW) + table.options * bytes_of(table.BY_OPTION) < 100 * table.rows
+    assert table.options == table.count[: table.rows].sum()
+
+
+ODD = ["a b  c", "", "   ", "x▁▁y ▁", "tie2tie_tie²", "日本語text ☃☃ é", "tail  ", "a" * 300 + " b1", "\x00\t\n"]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_words_of_a_batch_are_the_regular_expression_s_and_looked_up_once(sampler, monkeypatch, alike):
+    """Before, every word of every text was made a string and looked up. Also where hashes can't tell words apart."""
+    texts, asked, place = [*map(sampler.normal, ODD), *map(sampler.normal, ODD)], [], sampler.lattices.place
+    monkeypatch.setattr(sampler.lattices, "place", lambda words: asked.extend(words) or place(words))
+    if alike:
+        monkeypatch.setattr(sampler, "powers", np.zeros(1000, np.uint64))
+    for cut in (ss._RUNS, ss._WORDS):
+        asked.clear()
+        monkeypatch.setattr(sampler, "cut", cut)
+        monkeypatch.setattr(sampler, "kinds", np.zeros(0x110000, np.uint8))
+        sampler.lattices.reset()
+        row, end, stops = sampler._words(texts)
+        names = {(at, at + len(w)): w for w, at in sampler.lattices.at.items()}
+        got = [[names[x] for x in zip(row[a:b].tolist(), end[a:b].tolist(), strict=True)] for a, b in zip(stops, stops[1:], strict=False)]
+        assert got == [cut.findall(t) for t in texts]
+        assert len(asked) == len(set(asked))
+    sampler.lattices.reset()

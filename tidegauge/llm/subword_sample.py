@@ -15,6 +15,7 @@ Piece weights come from the model's merge ranks by a Zipf law, as BPE models car
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -29,19 +30,25 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import tidy
 
 SPACE = "▁"
-#: Weight exponent of the Zipf law, a byte's log weight, and rows (characters of distinct words) that a worker remembers.
-ZIPF, BYTE, REMEMBERED = 1.3, -16.0, 1_200_000
+#: Weight exponent of the Zipf law, a byte's log weight, rows (characters of distinct words) that a worker remembers, and options (pieces) a row that it has room for.
+ZIPF, BYTE, REMEMBERED, OPTIONS = 1.3, -16.0, 2_400_000, 4
+#: Characters of new words whose options are made at once.
+CHUNK = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: The finer cut, for models in which no piece has both letters and other characters than the leading spaces.
-_RUNS = re.compile(rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^{SPACE}\w]|[\d_²])+|{SPACE}+")
+_LETTER = r"[^\W\d_²]"
+_RUNS = re.compile(rf"{SPACE}*{_LETTER}+|{SPACE}*(?:[^{SPACE}\w]|[\d_²])+|{SPACE}+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(seed: np.ndarray, *at) -> np.ndarray:
@@ -67,155 +74,255 @@ class Out:
 
 
 class Lattices:
-    """Word lattices as one table: a row per character of each word, with the cumulative share, log share and id of each piece that starts there.
+    """Word lattices as one table: a row per character of each word, and an option for each piece that starts there, with its cumulative share, log share, id and length.
 
-    Rows are made for all new words of a length at once: hashes of all substrings are looked up in the sorted hashes of the pieces, then log
-    masses are summed from the right. Column c holds the piece of c+1 characters. Id -1 stands for a character's bytes, where they are several.
-    A cut of a word is the tuple of its columns.
+    A row's options lie side by side, shorter pieces first; its last one takes the rest of the shares, whatever rounding left. Options are made for all new words at once: hashes
+    of substrings are looked up in the sorted hashes of the pieces, as far as some piece begins like them, then log masses are summed from the right. A character's bytes, where
+    they are several, have a negative id: -1 less the code point. Column c means the piece of c+1 characters; a cut of a word is the tuple of its columns.
     """
 
+    BY_ROW, BY_OPTION = (("first", np.int64), ("count", np.int16), ("size", np.int32), ("again", bool)), (("share", np.float64), ("log", np.float64), ("id", np.int32), ("length", np.int16))
+
     def __init__(self, pieces: dict[str, tuple[int, float]], to_bytes):
         self.to_bytes, self.width = to_bytes, max(map(len, pieces), default=1)
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        begins = [self._hashes(p) for p in pieces]
+        hashes = np.array([h[-1] for h in begins], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.seen = np.zeros(1 << 20, bool)  # by the upper bits of a hash: most substrings are no piece
-        self.seen[self.hashes >> np.uint64(44)] = True
-        self.first = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
-        self.most = int(np.diff(self.first, append=len(self.hashes)).max())
+        self.kind = np.zeros(1 << 20, np.uint8)  # by the upper bits of a hash: 1, it may be a piece's; 2, it may be that of how a longer one begins
+        self.kind[self.hashes >> np.uint64(44)] = 1
+        self.kind[np.array(list({x for h in begins for x in h[:-1]}), np.uint64) >> np.uint64(44)] |= 2
+        self.start = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.most = int(np.diff(self.start, append=len(self.hashes)).max())
         self.ids = np.array([i for i, _ in pieces.values()], np.int32)[order]
         self.weights = np.array([w for _, w in pieces.values()], np.float64)[order]
         self.reset()
 
     def forget(self) -> None:
         """Make room: words that no later batch had again go, or all, if the others take over half of it."""
-        kept = sorted((self.at[w], w) for w in self.again)
-        sizes = np.array([len(w) for _, w in kept], np.int64)
+        words, rows = list(self.at), np.fromiter(self.at.values(), np.int64, len(self.at))
+        kept = np.flatnonzero(self.again[rows])
+        rows, sizes = rows[kept], self.size[rows[kept]].astype(np.int64)
         stops = np.cumsum(sizes)
-        if not kept or stops[-1] > REMEMBERED // 2 or len(self.share) > REMEMBERED + (1 << 16):
+        if not len(kept) or stops[-1] > REMEMBERED // 2 or len(self.first) > REMEMBERED + (1 << 16) or len(self.share) > OPTIONS * (REMEMBERED + (1 << 16)):
+            return self.reset()
+        old = np.repeat(rows - (stops - sizes), sizes) + np.arange(stops[-1])
+        first, count = self.first[old], self.count[old]
+        below = np.cumsum(count, dtype=np.int64)
+        if below[-1] > OPTIONS * REMEMBERED // 2:
             return self.reset()
-        old = np.repeat(np.array([at for at, _ in kept], np.int64) - (stops - sizes), sizes) + np.arange(stops[-1])
-        for i in range(0, len(old), 1 << 16):  # rows only move up, so none is overwritten before it is read
-            for x in (self.share, self.log, self.piece):
-                x[i : i + (1 << 16)][: len(old) - i] = x.take(old[i : i + (1 << 16)], axis=0)
-        self.at, self.again, self.rows = dict(zip((w for _, w in kept), (stops - sizes).tolist(), strict=True)), set(), int(stops[-1])
+        options = np.repeat(first - (below - count), count) + np.arange(below[-1])
+        for name, _ in self.BY_OPTION:
+            x = getattr(self, name)
+            x[: len(options)] = x[options]
+        self.rows, self.options = int(stops[-1]), len(options)
+        self.first[: self.rows], self.count[: self.rows] = below - count, count
+        self.size[stops - sizes], self.again[: self.rows] = sizes, False
+        self.at = dict(zip((words[i] for i in kept.tolist()), (stops - sizes).tolist(), strict=True))
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.again: set[str] = set()
-        self.rows = 0
-        most = REMEMBERED + (1 << 16)
-        self.share, self.log, self.piece = np.empty((most, self.width)), np.empty((most, self.width)), np.empty((most, self.width), np.int32)
+        self.rows = self.options = 0
+        for names, most in ((self.BY_ROW, REMEMBERED + (1 << 16)), (self.BY_OPTION, OPTIONS * (REMEMBERED + (1 << 16)))):
+            for name, kind in names:
+                setattr(self, name, np.empty(most, kind))
 
     @staticmethod
-    def _hash(text: str) -> int:
-        h = 0
+    def _hashes(text: str) -> list[int]:
+        """Hashes of how a text begins, by length; the last is the text's."""
+        h, found = 0, []
         for c in text:
             h = (h + ord(c) + 1) * int(_STEP) & (1 << 64) - 1
-        return h
+            found.append(h)
+        return found
 
-    def _room(self, rows: int) -> None:
+    def _room(self, rows: int, options: int) -> None:
         """A batch of very long words may need more than the table has."""
-        if self.rows + rows > len(self.share):
-            for name in ("share", "log", "piece"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.empty((max(rows, len(old)), self.width), old.dtype)]))
+        for names, need in ((self.BY_ROW, rows), (self.BY_OPTION, options)):
+            for name, kind in names:
+                if need > len(old := getattr(self, name)):
+                    setattr(self, name, np.concatenate([old, np.empty(max(need - len(old), len(old)), kind)]))
+
+    def place(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First row, and the one after the last, of each of these distinct words; those that are new are added."""
+        row, new = self._known(words)
+        if new and (self.rows + sum(map(len, new)) > REMEMBERED or self.options > OPTIONS * REMEMBERED):
+            self.forget()
+            row, new = self._known(words)
+        if new:
+            self.add(new)
+            row[row < 0] = [*map(self.at.__getitem__, new)]
+        return row, row + self.size[row]
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's first row, -1 for those that are new, and these."""
+        row = np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int64, len(words))
+        self.again[row[row >= 0]] = True
+        return row, [words[i] for i in np.flatnonzero(row < 0).tolist()]
 
     def add(self, words: list[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for n, some in by_length.items():
-            step = max(1, 400_000 // (n * self.width))
-            for i in range(0, len(some), step):
-                self._add(some[i : i + step], n)
-
-    def _add(self, words: list[str], n: int) -> None:
-        m, width = len(words), min(n, self.width)
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
-        weight, piece, share = np.full((m, n, width), -np.inf), np.full((m, n, width), -1, np.int32), np.full((m, n, width), 2.0)
-        h = np.zeros((m, n), np.uint64)
-        for c in range(width):
-            h = (h[:, : n - c] + code[:, c:]) * _STEP
-            word, place = np.nonzero(self.seen[h >> np.uint64(44)])
-            some = h[word, place]
-            spot = self.first[some >> np.uint64(44)]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        rows = self.rows + np.cumsum(sizes) - sizes
+        self.at.update(zip(words, rows.tolist(), strict=True))
+        self.rows += int(sizes.sum())
+        self._room(self.rows, 0)
+        self.size[rows], self.again[rows] = sizes, False
+        order = np.argsort(-sizes, kind="stable")
+        chunk = np.cumsum(sizes[order]) // CHUNK
+        bounds = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(words)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            some = order[a:b]
+            self._add([words[i] for i in some.tolist()], rows[some], sizes[some])
+
+    def _find(self, code: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, pieces) of each length; left has how many characters a place's word has from there on."""
+        live, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        for c in range(self.width):
+            h = (h + code[live + c]) * _STEP
+            kind = self.kind[h >> np.uint64(44)]
+            at = np.flatnonzero(kind & 1)
+            some = h[at]
+            spot = self.start[some >> np.uint64(44)]
             for _ in range(self.most - 1):
                 spot = np.minimum(spot + (self.hashes[spot] < some), len(self.hashes) - 1)
-            known = self.hashes[spot] == some
-            word, place, spot = word[known], place[known], spot[known]
-            weight[word, place, c] = self.weights[spot]
-            piece[word, place, c] = self.ids[spot]
-        for j, i in zip(*np.nonzero(piece[:, :, 0] < 0), strict=True):
-            ids = self.to_bytes(words[j][i])
-            weight[j, i, 0] = BYTE * len(ids)
-            if len(ids) == 1:
-                piece[j, i, 0] = ids[0]
-        below = np.zeros((m, n + 1))
-        for i in range(n - 1, -1, -1):
-            k = min(width, n - i)
-            logs = weight[:, i, :k] + below[:, i + 1 : i + 1 + k]
-            top = logs.max(1, keepdims=True)
-            parts = np.exp(logs - top)
-            total = parts.sum(1, keepdims=True)
-            below[:, i] = (top + np.log(total))[:, 0]
-            weight[:, i, :k] = logs - below[:, i, None]
-            np.cumsum(parts / total, axis=1, out=share[:, i, :k])
-        self._room(n * m)
-        rows = slice(self.rows, self.rows + n * m)
-        full = weight.reshape(n * m, width)
-        self.share[rows, :width] = share.reshape(n * m, width)
-        self.share[rows, width:] = 2.0
-        self.log[rows, width:] = -np.inf
-        self.log[rows, :width] = full
-        self.piece[rows, :width] = piece.reshape(n * m, width)
-        # the last piece takes the rest of the shares, whatever rounding left
-        last = width - 1 - np.argmax(np.isfinite(full[:, ::-1]), axis=1)
-        self.share[np.arange(rows.start, rows.stop), last] = 2.0
-        self.at.update((w, self.rows + k * n) for k, w in enumerate(words))
-        self.rows += n * m
+            known = np.flatnonzero(self.hashes[spot] == some)
+            yield live[at[known]], spot[known]
+            on = np.flatnonzero((kind > 1) & (left[live] > c + 1))
+            if not len(on):
+                return
+            live, h = live[on], h[on]
+
+    def _add(self, words: list[str], rows: np.ndarray, sizes: np.ndarray) -> None:
+        """words come by length, the longest first."""
+        stops = np.cumsum(sizes)
+        n, word = int(stops[-1]), np.repeat(np.arange(len(words)), sizes)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        left = stops[word] - np.arange(n)
+        # places are worked on by the characters left, then by word, so those whose masses are summed at once lie side by side; base[d] is the first with d left
+        base = np.concatenate([[0, 0], np.cumsum(np.cumsum(np.bincount(sizes)[:0:-1])[::-1])])
+        own = base[left] + word
+        found = list(self._find(code, left))
+        weight, piece = np.empty(n), np.zeros(n, np.int32)
+        missing = np.ones(n, bool)
+        at, spot = found[0]
+        weight[at], piece[at], missing[at] = self.weights[spot], self.ids[spot], False
+        missing = np.flatnonzero(missing)
+        chars, which = np.unique(code[missing], return_inverse=True)
+        ids = [self.to_bytes(chr(c - 1)) for c in chars.tolist()]
+        weight[missing] = np.array([BYTE * len(i) for i in ids])[which] if len(missing) else 0.0
+        piece[missing] = np.array([i[0] if len(i) == 1 else -c for i, c in zip(ids, chars.tolist(), strict=True)], np.int32)[which] if len(missing) else 0
+        found[0] = np.arange(n), None
+        count = np.zeros(n, np.int64)
+        for at, _ in found:
+            count[own[at]] += 1
+        first = np.cumsum(count) - count
+        total, free = int(count.sum()), first.copy()
+        weights, ids, length, behind = np.empty(total), np.empty(total, np.int32), np.empty(total, np.int16), np.empty(total, np.int64)
+        for c, (at, spot) in enumerate(found):
+            o = own[at]
+            x = free[o]
+            free[o] = x + 1
+            weights[x], ids[x], length[x] = (self.weights[spot], self.ids[spot], c + 1) if c else (weight, piece, 1)
+            rest = left[at] - (c + 1)
+            behind[x] = np.where(rest > 0, base[rest] + word[at], n)
+        below = np.zeros(n + 1)
+        bounds = np.append(first, total)
+        for a, b in zip(base[1:].tolist(), base[2:].tolist(), strict=False):
+            x = slice(bounds[a], bounds[b])
+            logs, starts = weights[x] + below[behind[x]], first[a:b] - bounds[a]
+            top = np.maximum.reduceat(logs, starts)
+            below[a:b] = top + np.log(np.add.reduceat(np.exp(logs - np.repeat(top, count[a:b])), starts))
+        log = weights + below[behind] - np.repeat(below[:n], count)
+        share = np.exp(log)
+        k, more = 1, np.flatnonzero(count > 1)
+        while len(more):
+            x = first[more] + k
+            share[x] += share[x - 1]
+            k += 1
+            more = more[count[more] > k]
+        share[first + count - 1] = 2.0
+        # kept by word and place
+        count, first = count[own], first[own]
+        to = np.cumsum(count) - count
+        order = np.repeat(first - to, count) + np.arange(total)
+        self._room(0, self.options + total)
+        spots = np.repeat(rows - (stops - sizes), sizes) + np.arange(n)
+        self.first[spots], self.count[spots] = to + self.options, count
+        x = slice(self.options, self.options + total)
+        self.share[x], self.log[x], self.id[x], self.length[x] = share[order], log[order], ids[order], length[order]
+        self.options += total
+
+    def option(self, place: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The options of these columns at these rows."""
+        found = self.first[place]
+        behind = np.flatnonzero(self.length[found] <= column)
+        while len(behind):
+            found[behind] += 1
+            behind = behind[self.length[found[behind]] <= column[behind]]
+        return found
+
+    @property
+    def piece(self) -> "Ids":
+        return Ids(self)
 
     def walk(self, row: np.ndarray, end: np.ndarray, seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A cut of each word [row, end): log shares by word, then (word, row, column) of each piece, by word and place."""
-        live, at = np.arange(len(row)), row.copy()
-        log, steps = np.zeros(len(row)), []
-        seed = self.turn(seed, draw)
+        log, word, place, option = self.draw(row, end, seed, draw)
+        return log, word, place, self.length[option] - 1
+
+    def draw(self, row: np.ndarray, end: np.ndarray, seed: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with options in place of columns."""
+        pieces, steps = np.zeros(len(row), np.int64), []
+        live, at, seed = np.arange(len(row)), row, self.turn(seed, draw)
         while len(live):
-            spot = at[live]
-            c = np.argmax(self.share.take(spot, axis=0) > uniform(seed[live], spot - row[live])[:, None], axis=1)
-            steps.append((live, spot, c))
-            log[live] += self.log[spot, c]
-            at[live] = spot + c + 1
-            live = live[at[live] < end[live]]
-        word, place, column = (np.concatenate([s[i] for s in steps]) if steps else np.zeros(0, np.int64) for i in range(3))
-        order = np.argsort(word, kind="stable")  # a word's steps come in order of place
-        return log, word[order], place[order], column[order]
+            u, found = uniform(seed, at - row), self.first[at]
+            behind = np.flatnonzero(self.share[found] <= u)
+            while len(behind):
+                found[behind] += 1
+                behind = behind[self.share[found[behind]] <= u[behind]]
+            steps.append((live, at, found))
+            pieces[live] = len(steps)
+            at = at + self.length[found]
+            on = np.flatnonzero(at < end)
+            live, at, row, end, seed = live[on], at[on], row[on], end[on], seed[on]
+        first = np.cumsum(pieces) - pieces
+        place, option = np.empty(int(pieces.sum()), np.int64), np.empty(int(pieces.sum()), np.int64)
+        for n, (live, at, found) in enumerate(steps):
+            x = first[live] + n
+            place[x], option[x] = at, found
+        return np.add.reduceat(self.log[option], first), np.repeat(np.arange(len(pieces)), pieces), place, option
 
     @staticmethod
     def turn(seed: np.ndarray, draw: int) -> np.ndarray:
         return _mix(seed + np.uint64(int(_STEP) * draw & (1 << 64) - 1))
 
     def others(self, log: np.ndarray, word: np.ndarray, place: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Log mass of each word's other cuts, from the log shares of its cut. Where one minus the share would lose digits, it is summed up step by step."""
+        """Log mass of each word's other cuts, from the log shares of its cut."""
+        return self.rest(log, word, place, self.option(place, column))
+
+    def rest(self, log: np.ndarray, word: np.ndarray, place: np.ndarray, option: np.ndarray) -> np.ndarray:
+        """The same with options in place of columns. Where one minus the share would lose digits, it is summed up step by step."""
         with np.errstate(divide="ignore"):
             rest = np.log(-np.expm1(np.minimum(log, 0.0)))
         if len(fine := np.flatnonzero(log > -1e-9)):
             number = np.full(len(log), -1)
             number[fine] = np.arange(len(fine))
             at = np.flatnonzero(number[word] >= 0)
-            own, spot, c = number[word[at]], place[at], column[at]
-            logs = self.log[spot].copy()
-            taken = logs[np.arange(len(c)), c]
-            logs[np.arange(len(c)), c] = -np.inf
+            own, option, low, count = number[word[at]], option[at], self.first[place[at]], self.count[place[at]].astype(np.int64)
+            starts = np.cumsum(count) - count
+            logs = self.log[np.repeat(low - starts, count) + np.arange(count.sum())]
+            logs[starts + option - low] = -np.inf
+            taken = self.log[option]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             before = np.cumsum(taken) - taken
             before -= np.repeat(before[first], np.diff(first, append=len(own)))
-            rest[fine] = np.logaddexp.reduceat(before + np.logaddexp.reduce(logs, axis=1), first)
+            rest[fine] = np.logaddexp.reduceat(before + np.logaddexp.reduceat(logs, starts), first)
         return rest
 
-    def _options(self, node: Out | None, at: int, end: int) -> list[tuple[float, int]]:
+    def _options(self, node: Out | None, at: int) -> list[tuple[float, int]]:
         """(log mass without what is out, column) of each piece at a place."""
-        logs = [(w, c) for c, w in enumerate(self.log[at, : end - at].tolist()) if w > -math.inf]
+        x = slice(a := int(self.first[at]), a + int(self.count[at]))
+        logs = [(w, c - 1) for w, c in zip(self.log[x].tolist(), self.length[x].tolist(), strict=True)]
         return [(w + node.behind[c].left if c in node.behind else w, c) for w, c in logs] if node else logs
 
     def exclude(self, node: Out, at: int, end: int, cut: tuple[int, ...]) -> None:
@@ -226,7 +333,7 @@ class Lattices:
             path.append((node, at))
         node.left = -math.inf
         for node, at in reversed(path[:-1]):
-            logs = [w for w, _ in self._options(node, at, end)]
+            logs = [w for w, _ in self._options(node, at)]
             top = max(logs)
             node.left = top if top == -math.inf else top + math.log(sum(math.exp(w - top) for w in logs))
 
@@ -235,7 +342,7 @@ class Lattices:
         at, cut = row, []
         while at < end:
             if node:
-                options = [o for o in self._options(node, at, end) if o[0] > -math.inf]
+                options = [o for o in self._options(node, at) if o[0] > -math.inf]
                 top = max(o[0] for o in options)
                 x = u[at - row] * sum(math.exp(w - top) for w, _ in options)
                 for w, c in options:  # noqa: B007  the last one takes what rounding leaves
@@ -244,14 +351,26 @@ class Lattices:
                         break
                 node = node.behind.get(c)
             else:
-                c = int(np.argmax(self.share[at] > u[at - row]))
+                x = slice(a := int(self.first[at]), a + int(self.count[at]))
+                c = int(self.length[a + np.argmax(self.share[x] > u[at - row])]) - 1
             cut.append(c)
             at += c + 1
         return tuple(cut)
 
 
+class Ids:
+    """Piece ids of a table by row and column."""
+
+    def __init__(self, table: Lattices) -> None:
+        self.table = table
+
+    def __getitem__(self, at) -> np.ndarray:
+        place, column = map(np.asarray, at)
+        return self.table.id[self.table.option(place, column)]
+
+
 class Search:
-    """A text's regions and the paths found so far. A path is (row and column of each piece, where each word's end, log share of each word, priority)."""
+    """A text's regions and the paths found so far. A path is (option of each piece, where each word's end, log share of each word, priority)."""
 
     def __init__(self, row: np.ndarray, end: np.ndarray, seed: int):
         self.row, self.end, self.seed, self.number, self.found = row, end, np.array([seed], np.uint64), 0, []
@@ -266,26 +385,24 @@ class Search:
             cut, self.out = self.out, Out()
             table.exclude(self.out, int(self.row[self.j]), int(self.end[self.j]), cut)
 
-    def finish(self, place: np.ndarray, column: np.ndarray, stops: np.ndarray, logs: np.ndarray, rest: np.ndarray, k: int) -> None:
-        """Take the drawn path of the popped region, whose words from j on are given with the log mass that each has left, and split the rest."""
+    def finish(self, table: Lattices, option: np.ndarray, stops: np.ndarray, logs: np.ndarray, rest: np.ndarray, noise: np.ndarray, k: int) -> None:
+        """Take the drawn path of the popped region, whose words from j on are given with the log mass that each has left and a Gumbel draw, and split the rest."""
         j = self.j
         if j:
             old = self.found[self.origin]
-            cut = old[2][j - 1]
-            place, column = np.concatenate([old[0][:cut], place]), np.concatenate([old[1][:cut], column])
-            stops, logs = np.concatenate([old[2][:j], stops + cut]), np.concatenate([old[3][:j], logs])
-        self.found.append((place, column, stops, logs, self.top))
-        at = np.flatnonzero(rest > -np.inf)
-        if not len(at):
-            return
-        mass = (np.cumsum(logs) - logs)[j:][at] + rest[at]
-        g = _gumbel(mass, uniform(np.repeat(self.seed, len(at)), len(self.found), at + j + (1 << 31)))
-        g = -np.logaddexp(-g, -self.top)  # conditioned to lie below the parent's: the total of the parts has the parent's as its largest
-        for x in np.argsort(-g, kind="stable")[: k + 1]:  # regions further down can't be popped
-            i = j + int(at[x])
-            own = tuple(column[stops[i - 1] if i else 0 : stops[i]].tolist())
+            cut = old[1][j - 1]
+            option, stops, logs = np.concatenate([old[0][:cut], option]), np.concatenate([old[1][:j], stops + cut]), np.concatenate([old[2][:j], logs])
+        self.found.append((option, stops, logs, self.top))
+        g = (np.cumsum(logs) - logs)[j:] + rest + noise
+        best = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))  # regions further down can't be popped
+        for low, x in sorted(zip((-g[best]).tolist(), best.tolist(), strict=True)):
+            if low == math.inf:  # nothing is left of this word
+                break
+            i = j + x
+            own = tuple((table.length[option[stops[i - 1] if i else 0 : stops[i]]] - 1).tolist())
             self.number += 1
-            heapq.heappush(self.heap, (-float(g[x]), self.number, i, self.out if i == j and self.out else own, len(self.found) - 1))  # no other region has this trie
+            # conditioned to lie below the parent's: the total of the parts has the parent's as its largest
+            heapq.heappush(self.heap, (float(np.logaddexp(low, -self.top)), self.number, i, self.out if i == j and self.out else own, len(self.found) - 1))  # no other region has this trie
 
 
 class Sampler:
@@ -304,6 +421,7 @@ class Sampler:
         self.unknown = self.model.unk_id()
         apart = all(len(_RUNS.findall(p)) == 1 for p in pieces)
         self.cut = _RUNS if apart else _WORDS
+        self.kinds, self.powers = np.zeros(0x110000, np.uint8), np.ones(1, np.uint64)
         self.lattices = Lattices(pieces, self._bytes)
 
     def _bytes(self, ch: str) -> tuple[int, ...]:
@@ -311,82 +429,122 @@ class Sampler:
 
     def units(self, text: str) -> list[str]:
         """The normalised text's words; no piece reaches over the end of one."""
-        return self.cut.findall(self.model.normalize(text)) if text else []
+        return self.cut.findall(self.normal(text))
+
+    def normal(self, text: str) -> str:
+        return self.model.normalize(text) if text else ""
+
+    def _kinds(self, code: np.ndarray) -> np.ndarray:
+        """1 for the space sign; then what `cut` tells apart."""
+        kinds = self.kinds[code]
+        if not kinds.all():
+            for c in np.unique(code[kinds == 0]).tolist():
+                self.kinds[c] = 1 if chr(c) == SPACE else 2 if self.cut is _WORDS or re.match(_LETTER, chr(c)) else 3
+            kinds = self.kinds[code]
+        return kinds
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """First row, and the one after the last, of every word of normalised texts, the words that units() gives; and where each text's words end.
+
+        The words of a batch are told apart by hashes and then compared with the first of their hash, so only one of each is made a string and looked up.
+        """
+        none, joined = np.zeros(0, np.int64), "".join(texts)
+        bounds = np.cumsum([0, *map(len, texts)])
+        if not joined:
+            return none, none, [0] * len(bounds)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self._kinds(code)
+        begins = np.ones(len(code), bool)
+        begins[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != 1)  # spaces belong to what follows
+        begins[bounds[:-1][bounds[:-1] < len(code)]] = True
+        start = np.flatnonzero(begins)
+        sizes = np.diff(start, append=len(code))
+        place = np.arange(len(code)) - np.repeat(start, sizes)
+        if (most := int(sizes.max())) > len(self.powers):
+            self.powers = np.cumprod(np.full(most, _STEP))
+        h = np.add.reduceat((code + np.uint64(1)) * self.powers[place], start)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        one, which = order[new], np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        like = one[which]
+        if (sizes[like] != sizes).any() or (code[np.repeat(start[like], sizes) + place] != code).any():  # two words with one hash: each is made a string
+            number: dict[str, int] = {}
+            which = np.array([number.setdefault(w, len(number)) for t in texts for w in self.cut.findall(t)])
+            words = list(number)
+        else:
+            words = [joined[a:b] for a, b in zip(start[one].tolist(), (start[one] + sizes[one]).tolist(), strict=True)]
+        row, end = self.lattices.place(words)
+        return row[which], end[which], np.searchsorted(start, bounds).tolist()
 
     def sample_batch(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct (ids, log p, perturbed log p, inclusion score), best first; fewer only if it has fewer paths."""
-        words = [self.units(t) for t in texts]
-        met = set().union(*words)
-        new = met.difference(self.lattices.at)
-        if self.lattices.rows + sum(map(len, new)) > REMEMBERED:
-            self.lattices.forget()
-            new = met.difference(self.lattices.at)
-        self.lattices.again |= met - new
-        self.lattices.add(sorted(new))
-        flat = [w for ws in words for w in ws]
-        row = np.fromiter(map(self.lattices.at.__getitem__, flat), np.int64, len(flat))
-        end = row + np.fromiter(map(len, flat), np.int64, len(flat))
-        stops = np.cumsum([0, *map(len, words)]).tolist()
+        return self.sample_normal([self.normal(t) for t in texts], k, seeds)
+
+    def sample_normal(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """The same for normalised texts."""
+        row, end, stops = self._words(texts)
         searches = [Search(row[a:b], end[a:b], s) for a, b, s in zip(stops, stops[1:], seeds, strict=False)]
         live = [s for s in searches if len(s.row)]
         for draw in range(k):
-            live = [s for s in live if s.heap]
+            if not (live := [s for s in live if s.heap]):
+                break
             for s in live:
                 s.pop(self.lattices)
             for s, path in zip(live, self._paths(live, draw), strict=True):
-                s.finish(*path, k)
+                s.finish(self.lattices, *path, k)
         out = []
-        for s, ws in zip(searches, words, strict=True):
-            if not ws:
+        for s in searches:
+            if not len(s.row):
                 out.append([(np.zeros(0, np.int32), 0.0, 0.0, 1.0)])
                 continue
             bar = -s.heap[0][0] if s.heap else -math.inf
             out.append([])
-            for place, column, ends, logs, g in s.found:
+            for option, _, logs, g in s.found:
                 p = float(logs.sum())
-                out[-1].append((self._ids(ws, s.row, place, column, ends), p, g, 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(p - bar, 30.0)))))
+                out[-1].append((self._ids(option), p, g, 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(p - bar, 30.0)))))
         return out
 
     def _paths(self, live: list[Search], draw: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, column) of the pieces, each word's end, log share and what is left of it, of the words from each search's word j on; word j's cut is none that is out."""
-        none = np.zeros(0, np.int64)
-        row, end = (np.concatenate([none, *(x[s.j :] for x, s in zip(xs, live, strict=True))]) for xs in ([s.row for s in live], [s.end for s in live]))
+        """Options of the pieces, each word's end, log share, what is left of it and a Gumbel draw, of the words from each search's word j on; word j's cut is none that is out."""
+        row, end = (np.concatenate([x[s.j :] for x, s in zip(xs, live, strict=True)]) for xs in ([s.row for s in live], [s.end for s in live]))
         sizes = np.array([len(s.row) - s.j for s in live], np.int64)
         first = np.cumsum(sizes) - sizes
         number = np.arange(len(row)) - np.repeat(first - np.array([s.j for s in live], np.int64), sizes)
-        seed = _mix(np.repeat(np.array([s.seed[0] for s in live], np.uint64), sizes) + _STEP * number.astype(np.uint64))
+        of = np.repeat(np.array([s.seed[0] for s in live], np.uint64), sizes)
+        seed = _mix(of + _STEP * number.astype(np.uint64))
         table = self.lattices
-        log, word, place, column = table.walk(row, end, seed, draw)
-        rest = table.others(log, word, place, column)
+        log, word, place, option = table.draw(row, end, seed, draw)
+        rest = table.rest(log, word, place, option)
+        noise = _gumbel(np.zeros(1), uniform(of, draw + 1, number + (1 << 31)))
         ends = np.cumsum(np.bincount(word, minlength=len(row)))
         for f, n, s in zip(first.tolist(), sizes.tolist(), live, strict=True):
             start = int(ends[f - 1]) if f else 0
-            own = slice(start, int(ends[f + n - 1]))
-            where, what, stops, logs, left = place[own], column[own], ends[f : f + n] - start, log[f : f + n], rest[f : f + n]
+            what, stops, logs, left = option[start : int(ends[f + n - 1])], ends[f : f + n] - start, log[f : f + n], rest[f : f + n]
             if s.out:
                 a, b = int(row[f]), int(end[f])
                 u = uniform(np.repeat(Lattices.turn(seed[f : f + 1], draw), b - a), np.arange(b - a)).tolist()
                 cut = table.draw_left(s.out, a, b, u)
                 table.exclude(s.out, a, b, cut)
-                spots = a + np.cumsum([0, *(c + 1 for c in cut[:-1])])
-                logs[0], left[0] = table.log[spots, list(cut)].sum(), s.out.left
-                where, what = np.concatenate([spots, where[stops[0] :]]), np.concatenate([np.array(cut, np.int64), what[stops[0] :]])
-                stops = stops + (len(cut) - stops[0])
-            yield where, what, stops, logs, left
+                own = table.option(a + np.cumsum([0, *(c + 1 for c in cut[:-1])]), np.array(cut))
+                logs[0], left[0] = table.log[own].sum(), s.out.left
+                what, stops = np.concatenate([own, what[stops[0] :]]), stops + (len(cut) - stops[0])
+            yield what, stops, logs, left, noise[f : f + n]
 
-    def _ids(self, words: list[str], row: np.ndarray, place: np.ndarray, column: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def _ids(self, option: np.ndarray) -> np.ndarray:
         """Piece ids, characters without a piece as bytes."""
-        piece = self.lattices.piece[place, column]
+        piece = self.lattices.id[option]
         if len(spots := np.flatnonzero(piece < 0)):
-            word = np.searchsorted(stops, spots, side="right")
-            ids = [self._bytes(words[w][place[x] - row[w]]) for w, x in zip(word.tolist(), spots.tolist(), strict=True)]
+            ids = [self._bytes(chr(-1 - c)) for c in piece[spots].tolist()]
             times = np.ones(len(piece), np.int64)
             times[spots] = [len(i) for i in ids]
             piece = np.repeat(piece, times)
             piece[piece < 0] = [x for i in ids for x in i]
         return piece
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         return self.model.decode(ids)
 
 
@@ -416,10 +574,11 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, key_col: str = "d
                 keys, texts = b.column(0).slice(at, 100).to_pylist(), [t or "" for t in b.column(1).slice(at, 100).to_pylist()]
                 seeds = [xxhash.xxh64_intdigest(f"{key}\x00{t}".encode("utf-8", "replace")) for key, t in zip(keys, texts, strict=True)]
                 rows, cuts = [], []
-                for key, text, found in zip(keys, texts, s.sample_batch(texts, k, seeds), strict=True):
-                    plain = s.model.normalize(text).removeprefix(SPACE)
+                normal = [s.normal(t) for t in texts]
+                for key, text, found in zip(keys, normal, s.sample_normal(normal, k, seeds), strict=True):
+                    plain = text.removeprefix(SPACE)
                     for n, (ids, p, g, share) in enumerate(found, 1):
-                        same = s.decode(ids.tolist()).replace(" ", SPACE) == plain
+                        same = s.decode(ids).replace(" ", SPACE) == plain
                         rows.append((key, n, len(ids), p, g, share, zlib.crc32(ids.astype("<u4").tobytes()), same))
                         cuts.append(ids.astype(np.int32))
                 cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
