@@ -372,11 +372,10 @@ class Ids:
 class Search:
     """A text's regions and the paths found so far. A path is (option of each piece, where each word's end, log share of each word, priority)."""
 
-    def __init__(self, row: np.ndarray, end: np.ndarray, seed: int):
-        self.row, self.end, self.seed, self.number, self.found = row, end, np.array([seed], np.uint64), 0, []
-        u = float(uniform(self.seed, 1 << 30)[0])
+    def __init__(self, row: np.ndarray, end: np.ndarray, seed: int, top: float):
+        self.row, self.end, self.seed, self.number, self.found = row, end, seed, 0, []
         # (-priority, number, word j, the trie of word j's cuts that are out, or the only one, index of the path that is kept before j)
-        self.heap = [(-float(_gumbel(np.zeros(1), np.array([u]))[0]), 0, 0, None, -1)]
+        self.heap = [(-top, 0, 0, None, -1)]
 
     def pop(self, table: Lattices) -> None:
         top, _, self.j, self.out, self.origin = heapq.heappop(self.heap)
@@ -385,8 +384,11 @@ class Search:
             cut, self.out = self.out, Out()
             table.exclude(self.out, int(self.row[self.j]), int(self.end[self.j]), cut)
 
-    def finish(self, table: Lattices, option: np.ndarray, stops: np.ndarray, logs: np.ndarray, rest: np.ndarray, noise: np.ndarray, k: int) -> None:
-        """Take the drawn path of the popped region, whose words from j on are given with the log mass that each has left and a Gumbel draw, and split the rest."""
+    def finish(self, table: Lattices, option: np.ndarray, stops: np.ndarray, logs: np.ndarray, rest: np.ndarray, noise: np.ndarray, more: int) -> None:
+        """Take the drawn path of the popped region, whose words from j on are given with the log mass that each has left and a Gumbel draw, and split the rest.
+
+        `more` regions are popped after this one, and the next is looked at.
+        """
         j = self.j
         if j:
             old = self.found[self.origin]
@@ -394,7 +396,7 @@ class Search:
             option, stops, logs = np.concatenate([old[0][:cut], option]), np.concatenate([old[1][:j], stops + cut]), np.concatenate([old[2][:j], logs])
         self.found.append((option, stops, logs, self.top))
         g = (np.cumsum(logs) - logs)[j:] + rest + noise
-        best = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))  # regions further down can't be popped
+        best = np.argpartition(-g, more)[: more + 1] if len(g) > more + 1 else np.arange(len(g))  # regions further down can't be popped
         for low, x in sorted(zip((-g[best]).tolist(), best.tolist(), strict=True)):
             if low == math.inf:  # nothing is left of this word
                 break
@@ -486,7 +488,8 @@ class Sampler:
     def sample_normal(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """The same for normalised texts."""
         row, end, stops = self._words(texts)
-        searches = [Search(row[a:b], end[a:b], s) for a, b, s in zip(stops, stops[1:], seeds, strict=False)]
+        tops = _gumbel(np.zeros(1), uniform(np.array(seeds, np.uint64), 1 << 30)).tolist()
+        searches = [Search(row[a:b], end[a:b], s, top) for a, b, s, top in zip(stops, stops[1:], seeds, tops, strict=False)]
         live = [s for s in searches if len(s.row)]
         for draw in range(k):
             if not (live := [s for s in live if s.heap]):
@@ -494,7 +497,7 @@ class Sampler:
             for s in live:
                 s.pop(self.lattices)
             for s, path in zip(live, self._paths(live, draw), strict=True):
-                s.finish(self.lattices, *path, k)
+                s.finish(self.lattices, *path, k - draw - 1)
         out = []
         for s in searches:
             if not len(s.row):
@@ -513,7 +516,7 @@ class Sampler:
         sizes = np.array([len(s.row) - s.j for s in live], np.int64)
         first = np.cumsum(sizes) - sizes
         number = np.arange(len(row)) - np.repeat(first - np.array([s.j for s in live], np.int64), sizes)
-        of = np.repeat(np.array([s.seed[0] for s in live], np.uint64), sizes)
+        of = np.repeat(np.array([s.seed for s in live], np.uint64), sizes)
         seed = _mix(of + _STEP * number.astype(np.uint64))
         table = self.lattices
         log, word, place, option = table.draw(row, end, seed, draw)
